@@ -63,13 +63,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op08_line_dedup import drop_recurring_lines
+
+    kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op09_simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3, parts=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_decontamination, op5_chat, op6_toxicity, op9_simhash)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_decontamination, op5_chat, op6_toxicity, op8_line_dedup, op9_simhash, op10_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -90,6 +103,34 @@ ORACLES: dict[str, str] = {
                sum(14 + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')))::BIGINT AS formatted_chars
         FROM own GROUP BY conv_id
     """,
+    "op8_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM raw),
+        tok AS (
+          SELECT doc_id, line_no, list_transform(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda t: t <> ''),
+                 lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
+        lines AS (
+          SELECT doc_id, line_no, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS line,
+                 len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM tok WHERE len(tokens) >= 4),
+        kinds AS (SELECT leaf, line, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY leaf, line),
+        shared AS (
+          SELECT leaf FROM (SELECT leaf, count(DISTINCT doc_id) AS d, count(DISTINCT line) AS k FROM lines GROUP BY leaf) WHERE d >= 10 AND k > 1),
+        places AS (
+          SELECT leaf, line, n, n_docs, unnest(range(4, n + 1)) AS place, unnest(tokens[4:]) AS token FROM kinds JOIN shared USING (leaf)),
+        most AS (
+          SELECT leaf, place, token AS common FROM (
+            SELECT leaf, place, token, row_number() OVER (PARTITION BY leaf, place ORDER BY sum(n_docs) DESC, token DESC) AS r FROM places GROUP BY leaf, place, token) WHERE r = 1),
+        members AS (
+          SELECT leaf, line FROM places JOIN most USING (leaf, place) GROUP BY leaf, line, n
+          HAVING count(*) FILTER (WHERE token = common) + 3 >= 0.8 * n),
+        wide AS (
+          SELECT line FROM members WHERE leaf IN (SELECT leaf FROM lines JOIN members USING (leaf, line) GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10)),
+        gone AS (SELECT line FROM kinds WHERE n_docs >= 10 UNION SELECT line FROM wide),
+        dropped AS (SELECT doc_id, list(DISTINCT line_no) AS nos FROM lines JOIN gone USING (line) GROUP BY doc_id)
+        SELECT r.doc_id, len(r.l)::BIGINT AS n_lines, coalesce(len(nos), 0)::BIGINT AS n_dropped,
+               sha256(coalesce(array_to_string(list_filter(list_transform(range(0, len(r.l)), lambda i: CASE WHEN nos IS NOT NULL AND list_contains(nos, i) THEN NULL ELSE r.l[i + 1] END), lambda x: x IS NOT NULL), chr(10)), '')) AS kept_sha256
+        FROM raw r LEFT JOIN dropped USING (doc_id)
+    """,
     "op4_decontamination": r"""
         WITH low AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
