@@ -63,6 +63,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op07_brown import class_scores
+
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op08_line_dedup import drop_recurring_lines
 
@@ -82,7 +88,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_decontamination, op5_chat, op6_toxicity, op8_line_dedup, op9_simhash, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op4_decontamination, op5_chat, op6_toxicity, op7_brown, op8_line_dedup, op9_simhash, op10_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
