@@ -9,6 +9,9 @@ meets under a key is compared in full. A key's fingerprints are linked by a span
 forest of true links, not by all pairs, so a dense group gives no more links than
 members. Components are computed from the links.
 
+Links may be checked against a second fingerprint of longer shingles, so that texts which
+differ too much, or whose first fingerprints are near by chance, stay apart.
+
 Cases: a null or empty text has fingerprint zero and is linked like any other; texts
 shorter than the shingle are one shingle; rows that repeat a doc_id are allowed (their
 component is the least over their fingerprints); an empty table gives an empty result.
@@ -67,17 +70,20 @@ def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint``: the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, size: int, check_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, check``: 64 bits each as a signed long; check is 0 without ``check_size``."""
 
     def run(batches):
         for batch in batches:
             data, off = flat(batch.column(1))
-            parts = [simhash(*shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], size)) for i, j in slices(off)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["doc_id", "fingerprint"])
+            own, check = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for i, j in slices(off):
+                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                own.append(simhash(*shingle_hashes(part, o, size)))
+                check.append(simhash(*shingle_hashes(part, o, check_size)) if check_size else np.zeros(j - i, np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (own, check))], ["doc_id", "fingerprint", "check"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fingerprint long, check long")
 
 
 def segments(parts: int) -> list[tuple[int, int]]:
@@ -86,22 +92,44 @@ def segments(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning links (index pairs) of values at most ``distance`` bits apart: breadth-first, each value visited once."""
-    left, out = np.arange(len(values)), []
+def forest(first: np.ndarray, second: np.ndarray, distance: int, check_distance: int) -> np.ndarray:
+    """Spanning links (index pairs) of near values: breadth-first, each value visited once."""
+    left, out = np.arange(len(first)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = popcount(values[left] ^ values[x]) <= distance
+            near = popcount(first[left] ^ first[x]) <= distance
+            near &= popcount(second[left] ^ second[x]) <= check_distance
             out += [(x, int(y)) for y in left[near]]
             queue += left[near].tolist()
             left = left[~near]
-    return out
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what the links (a, b) connect: each place with the least one it reaches."""
+    places, flat_ab = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = flat_ab[: len(a)], flat_ab[len(a) :]
+    label = np.arange(len(places))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(places)))
+    return places[far], places[label[far]]
 
 
-def links(prints: DataFrame, distance: int, parts: int) -> DataFrame:
-    """``a, b``: spanning links between nodes of ``prints (fingerprint long, node long)``; fingerprints are distinct."""
+PAIRS = 1 << 21  # pairs compared at once
+
+
+def links(prints: DataFrame, distance: int, parts: int, check_distance: int = 64) -> DataFrame:
+    """``a, b``: links that connect the near nodes of ``prints (fingerprint, check, node: long)``."""
     radius = distance // parts
     if radius > 1:
         raise ValueError("more segments are needed: the ball's radius is over 1")
@@ -114,53 +142,63 @@ def links(prints: DataFrame, distance: int, parts: int) -> DataFrame:
                 own = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
                 for flip in [0, *[1 << b for b in range(bits * radius)]]:
                     key = (own ^ np.uint64(flip)).astype(np.int64) * parts + k
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "fingerprint", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "fingerprint", "check", "node"])
 
     def verify(batches):
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not got:
             return
-        key, fp, node = (np.concatenate(c) for c in zip(*got, strict=True))
+        key, fp, check, node = (np.concatenate(c) for c in zip(*got, strict=True))
         del got
         order = np.argsort(key, kind="stable")
-        key, fp, node = key[order], fp[order].view(np.uint64), node[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        key, fp, check, node = key[order], fp[order].view(np.uint64), check[order].view(np.uint64), node[order]
+        if not len(key):
+            return
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         k, value = key % parts, key // parts
         shift = np.array([s for s, _ in table], np.uint64)[k]
         mask = np.array([(1 << b) - 1 for _, b in table], np.uint64)[k]
         home = ((fp >> shift) & mask).astype(np.int64) == value
-        homes = np.add.reduceat(home.astype(np.int64), start) if len(start) else size
-        a, b = [], []
+        homes = np.add.reduceat(home.astype(np.int64), start)
         group = np.repeat(np.arange(len(start)), size)
-        small = np.flatnonzero(home & (size <= 64)[group] & (size > 1)[group])
-        for i in range(0, len(small), 1 << 15):  # members of the table against all that look them up
-            own = small[i : i + (1 << 15)]
-            other = spread(start[group[own]], size[group[own]])
-            own = np.repeat(own, size[group[own]])
-            near = (own != other) & (popcount(fp[own] ^ fp[other]) <= distance)
-            a.append(node[own[near]])
-            b.append(node[other[near]])
-        for g in np.flatnonzero((size > 64) & (homes > 0)):
+        large = homes * size > PAIRS
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # members of the table against all that look them up
+        own = np.flatnonzero(home & ~large[group] & (size > 1)[group])
+        work = np.cumsum(size[group[own]])
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + PAIRS)))
+            one = own[at:to]
+            other = spread(start[group[one]], size[group[one]])
+            one = np.repeat(one, size[group[one]])
+            near = one != other
+            near &= popcount(fp[one] ^ fp[other]) <= distance
+            near &= popcount(check[one] ^ check[other]) <= check_distance
+            x, y = spanning(one[near], other[near])
+            a.append(x)
+            b.append(y)
+            at = to
+        for g in np.flatnonzero(large & (homes > 0)):
             s = slice(start[g], start[g] + size[g])
-            found = np.array(forest(fp[s], distance), np.int64).reshape(-1, 2)
-            a.append(node[s][found[:, 0]])
-            b.append(node[s][found[:, 1]])
-        if a and (total := sum(map(len, a))):
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0) if total else None
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
-
-    probes = prints.select("fingerprint", "node").mapInArrow(probe, "key long, fingerprint long, node long")
+            found = forest(fp[s], check[s], distance, check_distance) + start[g]
+            a.append(found[:, 0])
+            b.append(found[:, 1])
+        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+        if len(a):
+            pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, c])) for c in (0, 1)], ["a", "b"])
+
+    probes = prints.select("fingerprint", "check", "node").mapInArrow(probe, "key long, fingerprint long, check long, node long")
     return probes.repartition("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, distance: int = 3, parts: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, distance: int = 3, parts: int = 2, check_size: int | None = None, check_distance: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint (16 hex digits), component_id`` of every row of ``docs``."""
-    own = cut(fingerprints(docs, size, id_col, text_col))
-    nodes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    joined = components(links(nodes, distance, parts))
-    # rows that share a doc_id also join their fingerprints' components through the least doc_id
-    label = nodes.join(joined, "node", "left").select(F.col("fingerprint"), F.coalesce("component", "node").alias("component_id"))
-    out = own.join(label, "fingerprint")
+    own = cut(fingerprints(docs, size, check_size, id_col, text_col))
+    nodes = own.groupBy("fingerprint", "check").agg(F.min("doc_id").alias("node"))
+    joined = components(links(nodes, distance, parts, check_distance))
+    label = nodes.join(joined, "node", "left").select("fingerprint", "check", F.coalesce("component", "node").alias("component_id"))
+    out = own.join(label, ["fingerprint", "check"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
