@@ -27,36 +27,65 @@ from pyspark.sql import functions as F
 
 from .session import cut
 
-SPACE = "[ \\t\\x0B\\f\\r]+"
 FIELD = "<*>"
 
 
-def _token_list(line: Column) -> Column:
-    """Tokens with fields in place of those that have digits."""
-    parts = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.when(line.rlike("[0-9]"), F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(parts)
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _generalised(text: Column) -> Column:
+    """The text's lines with one space between tokens, and fields in place of tokens that have digits.
+
+    Plain searches come first: few texts have other white space, and few lines have digits.
+    """
+    odd = lambda t: t.contains("  ") | t.contains("\t") | t.contains("\r") | t.contains("\x0b") | t.contains("\f")
+    spaced = _once(text, lambda t: F.when(odd(t), F.regexp_replace(t, "[ \t\x0b\f\r]+", " ")).otherwise(t))
+    lines = F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
+    return F.transform(lines, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(x))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """``doc_id, line_no, tokens, n_tokens`` and hashes of leaf and line, for lines of enough tokens."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("l"))
-    rows = rows.select("doc_id", F.posexplode("l").alias("line_no", "line")).withColumn("tokens", _token_list(F.col("line"))).drop("line")
-    rows = rows.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= min_tokens)
-    whole, lead = F.array_join("tokens", " "), F.array_join(F.slice("tokens", 1, depth), " ")
+    """``doc_id, line_no, whole, n_tokens`` and hashes of leaf and line, for lines of enough tokens."""
+    counted = F.transform(_generalised(F.coalesce(text_col, F.lit(""))), lambda x: F.struct(x.alias("whole"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + F.lit(1)).alias("n")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(counted).alias("line_no", "l"))
+    rows = rows.where(F.col("l.n") >= min_tokens).select("doc_id", "line_no", F.col("l.n").alias("n_tokens"), F.col("l.whole").alias("whole"))
+    lead = F.substring_index("whole", " ", depth)
     return rows.select(
-        "doc_id", "line_no", "n_tokens", "tokens",
+        "doc_id", "line_no", "n_tokens", "whole",
         F.xxhash64("n_tokens", lead).alias("leaf1"), F.xxhash64(lead, "n_tokens").alias("leaf2"),
-        F.xxhash64(whole).alias("line1"), F.xxhash64(F.lit(1), whole).alias("line2"),
+        F.xxhash64("whole").alias("line1"), F.xxhash64(F.lit(1), "whole").alias("line2"),
     )
 
 
 LEAF, LINE = ["leaf1", "leaf2"], ["line1", "line2"]
 
 
+#: Words of 64 bits in the filter below: it is 1 MB whatever the input is.
+WORDS = 1 << 17
+
+
+def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` without most of those that are not in ``wanted``, by a bit map of fixed size; a join does the rest.
+
+    It keeps most lines' texts out of the join's shuffle. A full map lets all through.
+    """
+    place = F.pmod("line1", F.lit(WORDS * 64))
+    word, bit = F.shiftright(place, 6).cast("int"), (place % 64).cast("int")
+    set_bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(line1, 64) as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("b"))
+    dense = wanted.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("word")).join(set_bits, "word", "left")
+    rows = dense.select(F.struct("word", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("s"))
+    # WORDS rows, gathered to the one row that is sent
+    bits = rows.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]).alias("bits"))
+    return lines.join(F.broadcast(cut(bits)), F.getbit(F.element_at("bits", word + 1), bit) == 1, "left_semi")
+
+
 def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no`` of every line to drop (line_no from 0)."""
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    seen = cut(lines.select(*LEAF, *LINE, "doc_id").distinct())
+    marks = cut(lines.select("doc_id", "line_no", *LEAF, *LINE))
+    seen = cut(marks.select(*LEAF, *LINE, "doc_id").distinct())
     kinds = seen.groupBy(*LEAF, *LINE).agg(F.count("*").alias("n_docs"))
     own = kinds.where(F.col("n_docs") >= min_docs).select(LINE)
 
@@ -64,9 +93,10 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     leaf_docs = seen.select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     shared = kinds.groupBy(LEAF).agg(F.count("*").alias("kinds")).where("kinds > 1").join(leaf_docs, LEAF, "left_semi").select(LEAF)
     inside = cut(kinds.join(shared, LEAF, "left_semi"))
-    texts = lines.select(*LINE, "n_tokens", "tokens").join(inside.select(*LEAF, *LINE, "n_docs"), LINE)
+    texts = _maybe_in(lines.select(*LINE, "n_tokens", "whole"), inside).join(inside.select(*LEAF, *LINE, "n_docs"), LINE)
     texts = texts.dropDuplicates(LINE)
-    places = texts.select(*LEAF, *LINE, "n_docs", "n_tokens", F.posexplode(F.slice("tokens", depth + 1, F.greatest(F.lit(1), F.col("n_tokens")))).alias("place", "token"))
+    rest = F.slice(F.split("whole", " "), depth + 1, F.greatest(F.lit(1), F.col("n_tokens")))
+    places = texts.select(*LEAF, *LINE, "n_docs", "n_tokens", F.posexplode(rest).alias("place", "token"))
     places = cut(places)
     most = places.groupBy(*LEAF, "place", "token").agg(F.sum("n_docs").alias("n"))
     most = most.groupBy(*LEAF, "place").agg(F.max(F.struct("n", "token")).alias("m")).select(*LEAF, "place", F.col("m.token").alias("common"))
@@ -76,7 +106,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     wide = members.join(member_docs.where(F.col("docs") >= min_docs), LEAF, "left_semi").select(LINE)
 
     drop = cut(own.unionByName(wide).distinct())
-    return lines.select("doc_id", "line_no", *LINE).join(drop, LINE, "left_semi").select("doc_id", "line_no")
+    return marks.select("doc_id", "line_no", *LINE).join(drop, LINE, "left_semi").select("doc_id", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
