@@ -37,7 +37,7 @@ RESERVED_FOLDERS = ("logs", "evidence", "transcripts")
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` of each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def form_feed_pages(texts: DataFrame, counts: DataFrame, key: str = "path") -> DataFrame:
