@@ -412,7 +412,7 @@ def parts_of(pieces: Iterable[tuple[str, bool]], limit: int = PART_CHARS) -> Ite
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """``conv_id, part, formatted, loss_spans``; a conversation's parts follow one another in one partition."""
     compile_template(template)  # a bad template fails here
     rows = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -433,10 +433,10 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, id_col: str
                     nxt[0] = next(stream, None)
 
             reader = messages()
-            for k, (text, spans) in enumerate(parts_of(render({"messages": reader}))):
+            for k, (text, spans) in enumerate(parts_of(render({"messages": reader}), part_chars)):
                 out.append((conv, k, text, [{"start": a, "stop": b} for a, b in spans]))
                 size += len(text)
-                if size > 4 * PART_CHARS:
+                if size > 4 * part_chars:
                     yield batch(out)
                     out, size = [], 0
             for _ in reader:  # what the template did not read
