@@ -58,9 +58,13 @@ def plan_sql(policy: Policy, pages: str = PAGES_SQL) -> str:
         FROM b JOIN c USING (source_id)"""
 
 
-def _plan(pages: DataFrame, policy: Policy) -> DataFrame:
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return tables.numbered(page_features(tables.document_texts(spark, d)))
+
+
+def _plan(features: DataFrame, policy: Policy) -> DataFrame:
     as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    plan = batch_plan(classify(page_features(pages), policy), gap_free=True)
+    plan = batch_plan(classify(features, policy), gap_free=True)
     return plan.select("source_id", "batch_id", as_text("owned_pages"), as_text("context_pages"), "complexity", "route", "worker_mode", "text_chars")
 
 
@@ -81,22 +85,22 @@ LONGS = ("text_chars", "nonempty_lines", "word_count", "formula_markers", "table
 
 @query("page_features", f"SELECT source_id, page, {', '.join(f'{c}::BIGINT AS {c}' for c in LONGS)} FROM ({FEATURES_SQL % PAGES_SQL})")
 def q_features(spark: SparkSession, d: str) -> DataFrame:
-    return page_features(tables.document_pages(spark, d)).select("source_id", "page", *[F.col(c).cast("long").alias(c) for c in LONGS])
+    return _features(spark, d).select("source_id", "page", *[F.col(c).cast("long").alias(c) for c in LONGS])
 
 
 for _i, _policy in enumerate(POLICIES):
     _name = _policy.source_kind
 
     def _classes(spark: SparkSession, d: str, policy: Policy = _policy) -> DataFrame:
-        rows = classify(page_features(tables.document_pages(spark, d)), policy)
+        rows = classify(_features(spark, d), policy)
         return rows.select("source_id", "page", "complexity_score", "complexity", "route", "evidence_policy", "recommended_batch_size")
 
     def _reasons(spark: SparkSession, d: str, policy: Policy = _policy) -> DataFrame:
-        rows = classify(page_features(tables.document_pages(spark, d)), policy)
+        rows = classify(_features(spark, d), policy)
         return rows.select("source_id", "page", F.array_join("reason_codes", ",").alias("reason_codes"))
 
     def _plans(spark: SparkSession, d: str, policy: Policy = _policy) -> DataFrame:
-        return _plan(tables.document_pages(spark, d), policy)
+        return _plan(_features(spark, d), policy)
 
     query(f"page_classification_{_name}", f"SELECT source_id, page, complexity_score, complexity, route, evidence_policy, size AS recommended_batch_size FROM ({classes_sql(_policy)})")(_classes)
     query(f"page_reason_codes_{_name}", f"SELECT source_id, page, reasons AS reason_codes FROM ({classes_sql(_policy)})")(_reasons)
@@ -105,7 +109,7 @@ for _i, _policy in enumerate(POLICIES):
 
 @query("batch_plan_conversations", plan_sql(POLICIES[0], "SELECT conv_id AS source_id, turn + 1 AS page, text FROM conversations"))
 def q_plan_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(tables.conversation_pages(spark, d), POLICIES[0])
+    return _plan(page_features(tables.conversation_pages(spark, d)), POLICIES[0])
 
 
 @query("batch_size_policy", """
@@ -126,7 +130,8 @@ def q_sizes(spark: SparkSession, d: str) -> DataFrame:
 """)
 def q_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Runs of pages of 1000 characters or more."""
-    return ranges.contiguous_ranges(tables.document_pages(spark, d).where("length(text) >= 1000"), ["source_id"])
+    long = tables.document_texts(spark, d).select("source_id", "doc_id", (F.length("text") >= 1000).alias("long"))
+    return ranges.contiguous_ranges(tables.numbered(long).where("long"), ["source_id"])
 
 
 @query("page_selection", """

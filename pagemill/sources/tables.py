@@ -12,11 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents, which are its pages in order of doc_id; see ``numbered``."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "doc_id", "text")
+
+
+def numbered(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
+    """Rows of documents with their page number in place of doc_id; a source may hold most of the rows.
+
+    It comes after what is worked out from the texts, so that no text is shuffled.
+    """
+    return ordered.ordinal(ordered.with_chunk(rows, F.col("doc_id"), chunk), ["source_id"], ["doc_id"], "page").drop("__chunk", "doc_id")
+
+
 def document_pages(spark: SparkSession, sf_dir: str, chunk: int = ordered.CHUNK) -> DataFrame:
-    """A source's documents as its pages, in order of doc_id; a source may hold most of the rows."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "doc_id", "text")
-    docs = ordered.with_chunk(docs, F.col("doc_id"), chunk)
-    return ordered.ordinal(docs, ["source_id"], ["doc_id"], "page").select("source_id", "page", "text")
+    return numbered(document_texts(spark, sf_dir), chunk).select("source_id", "page", "text")
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
