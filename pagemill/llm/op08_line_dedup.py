@@ -49,11 +49,11 @@ def _generalised(text: Column) -> Column:
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
     """``doc_id, line_no, whole, n_tokens`` and hashes of leaf and line, for lines of enough tokens."""
     counted = F.transform(_generalised(F.coalesce(text_col, F.lit(""))), lambda x: F.struct(x.alias("whole"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + F.lit(1)).alias("n")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(counted).alias("line_no", "l"))
-    rows = rows.where(F.col("l.n") >= min_tokens).select("doc_id", "line_no", F.col("l.n").alias("n_tokens"), F.col("l.whole").alias("whole"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"), F.posexplode(counted).alias("line_no", "l"))
+    rows = rows.where(F.col("l.n") >= min_tokens).select("doc_id", "text_key", "line_no", F.col("l.n").alias("n_tokens"), F.col("l.whole").alias("whole"))
     lead = F.substring_index("whole", " ", depth)
     return rows.select(
-        "doc_id", "line_no", "n_tokens", "whole",
+        "doc_id", "text_key", "line_no", "n_tokens", "whole",
         F.xxhash64("n_tokens", lead).alias("leaf1"), F.xxhash64(lead, "n_tokens").alias("leaf2"),
         F.xxhash64("whole").alias("line1"), F.xxhash64(F.lit(1), "whole").alias("line2"),
     )
@@ -82,9 +82,9 @@ def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no`` of every line to drop (line_no from 0)."""
+    """``doc_id, text_key, line_no`` of every line to drop (line_no from 0; text_key is the text's hash)."""
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    marks = cut(lines.select("doc_id", "line_no", *LEAF, *LINE))
+    marks = cut(lines.select("doc_id", "text_key", "line_no", *LEAF, *LINE))
     seen = cut(marks.select(*LEAF, *LINE, "doc_id").distinct())
     kinds = seen.groupBy(*LEAF, *LINE).agg(F.count("*").alias("n_docs"))
     own = kinds.where(F.col("n_docs") >= min_docs).select(LINE)
@@ -106,14 +106,14 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     wide = members.join(member_docs.where(F.col("docs") >= min_docs), LEAF, "left_semi").select(LINE)
 
     drop = cut(own.unionByName(wide).distinct())
-    return marks.select("doc_id", "line_no", *LINE).join(drop, LINE, "left_semi").select("doc_id", "line_no")
+    return marks.select("doc_id", "text_key", "line_no", *LINE).join(drop, LINE, "left_semi").select("doc_id", "text_key", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The columns of ``docs`` with the lines dropped from the text, and ``n_lines, n_dropped``."""
     found = recurring_lines(docs, id_col=id_col, text_col=text_col, **parameters)
-    per_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__drop"))
-    both = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__lines", F.split(F.coalesce(text_col, F.lit("")), "\n"))
+    per_doc = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__drop"))
+    both = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("__key")), "left").withColumn("__lines", F.split(F.coalesce(text_col, F.lit("")), "\n"))
     gone = F.coalesce("__drop", F.array().cast("array<int>"))
     kept = F.filter("__lines", lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
