@@ -59,7 +59,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, SLICE_BYTES + 4096)
+            n = max(1 << 20, 1 << (n - 1).bit_length())
             inverse = U64(pow(int(STEP), -1, 1 << 64))
             both = []
             for base in (STEP, inverse):
@@ -251,3 +251,42 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(count)
     return np.arange(total) + np.repeat(start - (ends - count), count)
+
+
+def squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned 32-bit integers as compressed byte planes; of ascending ones the differences."""
+    v = values.astype("<u4")
+    if ascending and len(v):
+        v = np.concatenate([v[:1], np.diff(v)]).astype("<u4")
+    raw = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T)
+    return pack_bytes(raw.tobytes())
+
+
+def unsqueeze(blob: bytes, ascending: bool = False) -> np.ndarray:
+    raw = np.frombuffer(unpack_bytes(blob), np.uint8).reshape(4, -1)
+    v = np.ascontiguousarray(raw.T).view("<u4").ravel()
+    return np.cumsum(v, dtype=np.uint32) if ascending else v
+
+
+def squeeze_codes(codes: np.ndarray) -> bytes:
+    """64-bit integers in ascending order: their upper and lower halves, each compressed."""
+    codes = np.sort(codes)
+    upper = squeeze(codes >> U64(32), ascending=True)
+    return len(upper).to_bytes(8, "little") + upper + squeeze(codes & U64(0xFFFFFFFF))
+
+
+def unsqueeze_codes(blob: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return unsqueeze(blob[8:n], ascending=True).astype(U64) << U64(32) | unsqueeze(blob[n:])
+
+
+ZSTD = pa.Codec("zstd", compression_level=5)
+
+
+def pack_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (ZSTD.compress(raw, asbytes=True) if raw else b"")
+
+
+def unpack_bytes(blob: bytes) -> bytes:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""

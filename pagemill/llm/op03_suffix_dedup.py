@@ -16,8 +16,8 @@ brought together by content:
    no value by then share a whole window. The least document of such a set decides.
 4. Removed ranges go back to their texts and are merged.
 
-A very common anchor's pieces are folded by each task before and in the shard; what is left of one
-anchor, its different strings, is held by one task.
+A very common anchor's pieces are folded by each task and again in the shard. Where its different strings
+are more than fits a batch, they are cut to the windows that may be shared before they are sorted.
 
 Cases: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat a
 doc_id are judged each by itself against smaller ids; a null doc_id counts as larger than
@@ -32,19 +32,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_np import MIX1, U64, BYTE_VALUE, flat, mix, rolling_hash, runs, slices, sliding_min, spans_hash, spread
-from .session import cut, shuffle_width
+from .bytes_np import MIX1, U64, BYTE_VALUE, flat, mix, pack_bytes, rolling_hash, runs, slices, sliding_min, spans_hash, spread, squeeze, squeeze_codes, unpack_bytes, unsqueeze, unsqueeze_codes
+from .session import shuffle_width
 
 LENGTH, K = 50, 24
-SLICE = 2 << 20
-BATCH_BYTES = 2 << 20
+SLICE, PART = 2 << 20, 1 << 19
+BATCH_BYTES = 1 << 19
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, text number, start and length of each piece of a slice's texts."""
+    """Anchor hash, text number, start, length and the string's hash of each piece of a slice's texts."""
+    parts = []
+    for i, j in slices(off, PART):  # arrays of eight bytes for each byte stay small
+        h, text, start, size, g = _pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
+        parts.append((h, text + i, start + off[i], size, g))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _pieces(data, off, length, k)
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     n = len(data)
-    none = (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
+    none = (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, U64))
     size = np.diff(off)
     count = np.maximum(size - length + 1, 0)
     if not count.sum():
@@ -56,7 +64,14 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.n
     text = np.repeat(np.arange(len(size)), count)
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     windows = np.diff(np.append(first, len(anchor)))
-    return h[anchor[first]], text[first], window[first], windows + length - 1
+    # a window's least hashes are small ones: mixed again, they spread over the shards
+    text, start, size = text[first], window[first], windows + length - 1
+    return mix(h[anchor[first]]), text, start, size, string_hash(rolling_hash(data, length), start, size, length)
+
+
+def string_hash(window: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Hash of strings of less than two windows' length by the hashes of their first and last window."""
+    return mix(window[start] + MIX1 * window[start + size - length] + size.astype(U64))
 
 
 class Shards:
@@ -99,7 +114,7 @@ def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
             data, off = flat(batch.column(0))
             doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
             for i, j in slices(off, SLICE):
-                h, text, _, _ = pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
+                h, text, _, _, _ = pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
                 if not len(h):
                     continue
                 own = doc[i:j]
@@ -120,7 +135,7 @@ def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                     t, c = t[order], c[order]
                     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
                     for a, b in zip(at, np.append(at[1:], len(t))):
-                        out.append((int(t[a]) % n, int(own[t[a]]), int(key[i + t[a]]), None, c[a:b].astype("<u8").tobytes(), None))
+                        out.append((int(t[a]) % n, int(own[t[a]]), int(key[i + t[a]]), None, squeeze_codes(c[a:b]), None))
                 send = np.sort(np.concatenate([first, last[shared]]))
                 if not shared.all():  # all texts of one document: each needs the answer
                     send = np.union1d(send, np.flatnonzero(~many))
@@ -128,57 +143,100 @@ def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                 code, text = code[send], text[send]
                 _, parts = _by_shard((code >> U64(32)).astype(np.int64), n)
                 for s, at in parts:
-                    out.append((s, 0, 0, table, (code[at] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), text[at].astype("<u4").tobytes()))
+                    out.append((s, 0, 0, table, squeeze(code[at] & U64(0xFFFFFFFF), ascending=True), squeeze(text[at])))
                 yield _record(out, types, ANCHORS)
 
     return rows.select("text", "doc", "key").mapInArrow(run, ANCHORS)
 
 
-def suspects(blobs: DataFrame) -> DataFrame:
-    """``doc, key, codes``: codes of each text's anchors that two documents have."""
+def _group(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The group of each text, of n: results of a shard go to groups in one row each, not to each text by itself."""
+    return (mix(doc.astype(U64) * MIX1 + key.view(U64)) % U64(n)).astype(np.int64)
+
+
+def _by_text(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins in sorted rows, and how many rows it has."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    return at, np.diff(np.append(at, len(doc)))
+
+
+FOUND = "part int, shard int, texts binary, counts binary, a binary, b binary"
+FOUND_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+
+def _found(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, shard: int, n: int) -> list[tuple]:
+    """Rows for each group of texts that has any: the texts, how many values each has, and the values."""
+    group = _group(doc, key, n)
+    order = np.lexsort((a, key, doc, group))
+    doc, key, a, b, group = doc[order], key[order], a[order], b[order], group[order]
+    edge, out = np.searchsorted(group, np.arange(n + 1)), []
+    for g in np.flatnonzero(np.diff(edge)).tolist():
+        s = slice(edge[g], edge[g + 1])
+        at, count = _by_text(doc[s], key[s])
+        out.append((g, shard, pack_bytes(np.stack([doc[s][at], key[s][at]]).astype("<i8").tobytes()), squeeze(count), squeeze(a[s]), squeeze(b[s])))
+    return out
+
+
+def _texts(blobs: DataFrame, n: int, schema: str, merge) -> DataFrame:
+    """What all shards found, as one row for each text: ``merge(shard, a, b)`` gives its bytes."""
 
     def run(batches):
-        types = [pa.int64(), pa.int64(), pa.binary()]
         kept = []
-        for b in batches:
-            ready = []
-            for s, doc, key, table, codes, text in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                if table is None:
-                    ready.append((doc, key, codes))
-                else:
-                    code = np.frombuffer(codes, "<u4").astype(U64) | U64(s << 32)
-                    pair = np.frombuffer(table, "<i8").reshape(2, -1)[:, np.frombuffer(text, "<u4")]
-                    kept.append((code, pair))
-            if ready:
-                yield _record(ready, types, "doc long, key long, codes binary")
+        for batch in batches:
+            for _, shard, texts, counts, a, b in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                doc, key = np.frombuffer(unpack_bytes(texts), "<i8").reshape(2, -1)
+                count = unsqueeze(counts).astype(np.int64)
+                kept.append((np.repeat(doc, count), np.repeat(key, count), np.full(int(count.sum()), shard), unsqueeze(a), unsqueeze(b)))
         if not kept:
             return
-        code, (doc, key) = np.concatenate([c for c, _ in kept]), np.concatenate([p for _, p in kept], axis=1)
+        doc, key, shard, a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
         del kept
-        order = np.argsort(code)
-        code, doc, key = code[order], doc[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        size = np.diff(np.append(first, len(code)))
-        many = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
-        code, doc, key = code[many], doc[many], key[many]
-        if not len(code):
-            return
         order = np.lexsort((key, doc))
-        code, doc, key = code[order].astype("<u8"), doc[order], key[order]
-        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-        ends = np.append(at[1:], len(doc))
-        for g in range(0, len(at), 4096):
-            part = list(zip(at[g : g + 4096].tolist(), ends[g : g + 4096].tolist()))
-            yield _record([(int(doc[a]), int(key[a]), code[a:b].tobytes()) for a, b in part], types, "doc long, key long, codes binary")
+        doc, key, shard, a, b = doc[order], key[order], shard[order], a[order], b[order]
+        at, count = _by_text(doc, key)
+        for i in range(0, len(at), 2048):
+            yield _record([(int(doc[p]), int(key[p]), merge(shard[p : p + c], a[p : p + c], b[p : p + c])) for p, c in zip(at[i : i + 2048].tolist(), count[i : i + 2048].tolist(), strict=True)], [pa.int64(), pa.int64(), pa.binary()], schema)
+
+    return blobs.repartition(n, "part").mapInArrow(run, schema)
+
+
+def suspects(blobs: DataFrame, n: int) -> DataFrame:
+    """``doc, key, codes``: codes of each text's anchors that two documents have."""
+
+    def run(batches):
+        kept: dict[int, list] = {}
+        for batch in batches:
+            ready = []
+            for s, doc, key, table, codes, text in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if table is None:
+                    code = unsqueeze_codes(codes)
+                    one = np.array([doc], np.int64), np.array([key], np.int64)
+                    ready.append((int(_group(*one, n)[0]), 0, pack_bytes(np.stack(one).astype("<i8").tobytes()), squeeze(np.array([len(code)])), squeeze(code & U64(0xFFFFFFFF)), squeeze(code >> U64(32))))
+                else:
+                    kept.setdefault(s, []).append((unsqueeze(codes, ascending=True), np.frombuffer(table, "<i8").reshape(2, -1)[:, unsqueeze(text)]))
+            if ready:
+                yield _record(ready, FOUND_TYPES, FOUND)
+        for s, parts in kept.items():
+            code, (doc, key) = np.concatenate([c for c, _ in parts]), np.concatenate([p for _, p in parts], axis=1)
+            order = np.argsort(code)
+            code, doc, key = code[order], doc[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            size = np.diff(np.append(first, len(code)))
+            many = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
+            if many.any():
+                yield _record(_found(doc[many], key[many], code[many], np.full(int(many.sum()), s, np.uint32), s, n), FOUND_TYPES, FOUND)
 
-    return blobs.repartition("shard").mapInArrow(run, "doc long, key long, codes binary")
+    found = blobs.repartition(n, "shard").mapInArrow(run, FOUND)
+    return _texts(found, n, "doc long, key long, codes binary", lambda s, a, b: squeeze_codes(b.astype(U64) << U64(32) | a))
 
 
-PIECES = "shard int, texts binary, hash binary, size binary, bytes binary, which binary, text binary, start binary"
+PIECES = "shard int, texts binary, code binary, size binary, bytes binary, which binary, text binary, start binary"
 
 
 def piece_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
-    """Pieces at suspect anchors of ``rows (text, doc, key, codes array<binary>)`` for each shard; equal strings of a slice once."""
+    """Pieces at suspect anchors of ``rows (text, doc, key, codes)`` for each shard; equal strings of a slice once."""
     types = [pa.int32(), *[pa.binary()] * 7]
 
     def run(batches):
@@ -186,30 +244,27 @@ def piece_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
         for batch in batches:
             data, off = flat(batch.column(0))
             doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
-            lists = batch.column(3)
-            list_off = lists.offsets.to_numpy().astype(np.int64)
-            blob, blob_off = flat(lists.values)
-            codes, code_off = blob.view("<u8") if len(blob) else np.zeros(0, U64), blob_off[list_off] // 8
+            packed = batch.column(3)
             for i, j in slices(off, SLICE):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                h, text, start, size = pieces(part, o, length, k)
+                h, text, start, size, g = pieces(part, o, length, k)
                 if not len(h):
                     continue
-                own = codes[code_off[i] : code_off[j]]
-                owner = np.repeat(np.arange(j - i), np.diff(code_off[i : j + 1])).astype(U64)
+                lists = [unsqueeze_codes(x) for x in packed.slice(i, j - i).to_pylist()]
+                own = np.concatenate(lists)
+                owner = np.repeat(np.arange(j - i), [len(x) for x in lists]).astype(U64)
                 asked = np.sort(mix(own + (owner + U64(1)) * MIX1))
                 mine = mix(shards.code(h) + (text.astype(U64) + U64(1)) * MIX1)
                 at = np.minimum(np.searchsorted(asked, mine), max(0, len(asked) - 1))
                 hit = asked[at] == mine if len(asked) else np.zeros(len(mine), bool)
-                h, text, start, size = h[hit], text[hit], start[hit], size[hit]
+                h, text, start, size, g = h[hit], text[hit], start[hit], size[hit], g[hit]
                 if not len(h):
                     continue
-                # a piece is known by its first and last window
-                whole = rolling_hash(part, length)
-                g = mix(whole[start] + MIX1 * whole[start + size - length] + size.astype(U64))
                 _, one, which = np.unique(h ^ (g * MIX1), return_index=True, return_inverse=True)
-                shard = shards.of(h[one])
-                order, parts = _by_shard(shard, n)
+                code = shards.code(h[one])
+                order = np.argsort(code, kind="stable")
+                edge = np.searchsorted(code[order] >> U64(32), np.arange(n + 1, dtype=U64))
+                parts = [(s, slice(edge[s], edge[s + 1])) for s in np.flatnonzero(np.diff(edge)).tolist()]
                 place = np.empty(len(one), np.int64)
                 place[order] = np.arange(len(one))
                 occ = np.argsort(place[which], kind="stable")
@@ -221,7 +276,8 @@ def piece_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                     u = one[order[at]]
                     q = slice(*np.searchsorted(occ_place, [at.start, at.stop]))
                     who = occ[q]
-                    out.append((s, table, h[u].astype("<u8").tobytes(), size[u].astype("<u4").tobytes(), part[spread(start[u], size[u])].tobytes(), (occ_place[q] - at.start).astype("<u4").tobytes(), text[who].astype("<u4").tobytes(), (start[who] - base[who]).astype("<u8").tobytes()))
+                    begin = start[who] - base[who]
+                    out.append((s, table, squeeze(code[order[at]] & U64(0xFFFFFFFF), ascending=True), squeeze(size[u]), pack_bytes(part[spread(start[u], size[u])].tobytes()), squeeze(occ_place[q] - at.start, ascending=True), squeeze(text[who]), squeeze(begin)))
                 yield _record(out, types, PIECES)
 
     return rows.select("text", "doc", "key", "codes").mapInArrow(run, PIECES)
@@ -323,26 +379,51 @@ def least_owner(strings: np.ndarray, size: np.ndarray, owner: np.ndarray, length
     return least, begin
 
 
-SPANS = "doc long, key long, spans binary"
-
+def trimmed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of many strings, those that have a window whose hash another window has too: which, from where, how long, and their hash.
 
-def removed_spans(blobs: DataFrame, length: int) -> DataFrame:
-    """``doc, key, spans``: ranges (pairs of 64-bit integers) to remove from each text, of one shard's anchors."""
+    Windows of a hash that occurs once are shared by none, so what lies before a string's first other one, or after its last, is cut.
+    """
+    flat_raw = raw[spread(begin, size)]
+    base = np.cumsum(size) - size
+    window = rolling_hash(flat_raw, length)
+    count = size - length + 1
+    h = window[spread(base, count)]
+    order = np.argsort(h)
+    h = h[order]
+    alike = np.zeros(len(h), bool)
+    if len(h) > 1:
+        same = h[1:] == h[:-1]
+        alike[order[1:]] |= same
+        alike[order[:-1]] |= same
+    edge = np.cumsum(count) - count
+    place = spread(np.zeros(len(count), np.int64), count)
+    first = np.minimum.reduceat(np.where(alike, place, 1 << 40), edge)
+    last = np.maximum.reduceat(np.where(alike, place, -1), edge)
+    own = np.flatnonzero(last >= 0)
+    first, left = first[own], (last - first)[own] + length
+    return own, first, left, string_hash(window, base[own] + first, left, length)
+
+
+def removed_spans(blobs: DataFrame, n: int, length: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``doc, key, spans``: ranges (pairs of 64-bit integers) to remove from each text."""
 
     def run(batches):
         kept = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in range(1, 8)), strict=True):
-                kept.append((np.frombuffer(row[0], "<i8").reshape(2, -1), np.frombuffer(row[1], "<u8"), np.frombuffer(row[2], "<u4").astype(np.int64), np.frombuffer(row[3], np.uint8), np.frombuffer(row[4], "<u4").astype(np.int64), np.frombuffer(row[5], "<u4"), np.frombuffer(row[6], "<u8").astype(np.int64)))
+            for row in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
+                size, raw = unsqueeze(row[3]).astype(np.int64), np.frombuffer(unpack_bytes(row[4]), np.uint8)
+                end = np.cumsum(size)
+                code = unsqueeze(row[2], ascending=True).astype(U64) | U64(row[0] << 32)
+                kept.append((np.frombuffer(row[1], "<i8").reshape(2, -1), code, size, raw, unsqueeze(row[5], ascending=True).astype(np.int64), unsqueeze(row[6]), unsqueeze(row[7]).astype(np.int64), spans_hash(BYTE_VALUE[raw], end - size, end)))
         if not kept:
             return
         shift = np.cumsum([0, *(len(x[1]) for x in kept)])
         doc, key = np.concatenate([x[0][:, x[5]] for x in kept], axis=1)
-        anchor, size, raw, start = (np.concatenate([x[c] for x in kept]) for c in (1, 2, 3, 6))
+        anchor, size, raw, start, g = (np.concatenate([x[c] for x in kept]) for c in (1, 2, 3, 6, 7))
         which = np.concatenate([x[4] + s for x, s in zip(kept, shift)])
         del kept
         begin = np.cumsum(size) - size
-        g = spans_hash(BYTE_VALUE[raw], begin, begin + size)
         # equal strings of an anchor fold into one; strings are in order of their anchors
         order = np.lexsort((g, anchor))
         new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (g[order][1:] != g[order][:-1])])
@@ -364,23 +445,32 @@ def removed_spans(blobs: DataFrame, length: int) -> DataFrame:
             fill = np.cumsum(size[todo] + 1)
             at = 0
             while at < len(todo):
-                to = int(np.searchsorted(fill, (fill[at - 1] if at else 0) + BATCH_BYTES))
+                to = int(np.searchsorted(fill, (fill[at - 1] if at else 0) + batch_bytes))
                 to = min(len(todo), max(at + 1, to))
                 to = int(np.searchsorted(group, group[to - 1], side="right"))  # whole anchors
                 part = todo[at:to]
-                low, base = least_owner(raw[spread(begin[part], size[part])], size[part], least[part], length)
-                windows = size[part] - length + 1
-                flat_w = spread(base, windows)
-                hit = low[flat_w] < np.repeat(least[part], windows)
-                edge = np.cumsum(windows) - windows
-                owner = np.repeat(np.arange(len(part)), windows)
-                lo, hi = runs(hit)
-                inner = edge[(edge > 0)]
-                inner = inner[hit[inner] & hit[inner - 1]]
-                lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
-                run_of.append(part[owner[lo]])
-                run_lo.append(lo - edge[owner[lo]])
-                run_hi.append(hi - edge[owner[lo]] + length - 1)
+                shift, left, same = np.zeros(len(part), np.int64), size[part], np.arange(len(part))
+                if left.sum() > 2 * batch_bytes:  # one very common anchor: only what its strings share matters
+                    own, shift, left, g = trimmed(raw, begin[part], left, length)
+                    part = part[own]
+                    _, kind, same = np.unique(g, return_index=True, return_inverse=True)
+                else:
+                    kind = same
+                if len(part):
+                    owner = np.full(len(kind), LAST)
+                    np.minimum.at(owner, same, least[part])
+                    low, base = least_owner(raw[spread(begin[part][kind] + shift[kind], left[kind])], left[kind], owner, length)
+                    windows = left - length + 1
+                    hit = low[spread(base[same], windows)] < np.repeat(least[part], windows)
+                    edge = np.cumsum(windows) - windows
+                    owner = np.repeat(np.arange(len(part)), windows)
+                    lo, hi = runs(hit)
+                    inner = edge[(edge > 0)]
+                    inner = inner[hit[inner] & hit[inner - 1]]
+                    lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
+                    run_of.append(part[owner[lo]])
+                    run_lo.append(lo - edge[owner[lo]] + shift[owner[lo]])
+                    run_hi.append(hi - edge[owner[lo]] + shift[owner[lo]] + length - 1)
                 at = to
         late = doc > least[which]  # the whole string stands in an earlier document
         spans = [(doc[late], key[late], start[late], start[late] + size[which[late]])]
@@ -388,31 +478,32 @@ def removed_spans(blobs: DataFrame, length: int) -> DataFrame:
             run_of, run_lo, run_hi = (np.concatenate(x) for x in (run_of, run_lo, run_hi))
             edge = np.searchsorted(run_of, np.arange(len(one) + 1))
             early = np.flatnonzero(~late)
-            n = np.diff(edge)[which[early]]
-            r, e = spread(edge[:-1][which[early]], n), np.repeat(early, n)
+            times = np.diff(edge)[which[early]]
+            r, e = spread(edge[:-1][which[early]], times), np.repeat(early, times)
             spans.append((doc[e], key[e], start[e] + run_lo[r], start[e] + run_hi[r]))
         doc, key, lo, hi = (np.concatenate(x) for x in zip(*spans))
-        order = np.lexsort((lo, key, doc))
-        doc, key, pair = doc[order], key[order], np.stack([lo[order], hi[order]], 1).astype("<i8")
-        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, int)
-        ends = np.append(at[1:], len(doc))
-        for q in range(0, len(at), 4096):
-            yield _record([(int(doc[a]), int(key[a]), pair[a:b].tobytes()) for a, b in zip(at[q : q + 4096].tolist(), ends[q : q + 4096].tolist())], [pa.int64(), pa.int64(), pa.binary()], SPANS)
+        if len(doc):
+            yield _record(_found(doc, key, lo, hi - lo, 0, n), FOUND_TYPES, FOUND)
+
+    found = blobs.repartition(n, "shard").mapInArrow(run, FOUND)
+
+    def merge(_, start, size):
+        start = start.astype(np.int64)
+        return np.stack([start, start + size], 1).astype("<i8").tobytes()
 
-    return blobs.repartition("shard").mapInArrow(run, SPANS)
+    return _texts(found, n, "doc long, key long, spans binary", merge)
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch_bytes: int = BATCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: maximal removed ranges and the bytes that are left, for each input row."""
     n = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
-    asked = suspects(anchor_blobs(rows, n, length, k)).groupBy("doc", "key").agg(F.collect_list("codes").alias("codes"))
-    found = removed_spans(piece_blobs(rows.join(asked, ["doc", "key"]), n, length, k), length)
-    spans = cut(found.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans")))
+    asked = suspects(anchor_blobs(rows, n, length, k), n)
+    spans = removed_spans(piece_blobs(rows.join(asked, ["doc", "key"]), n, length, k), n, length, batch_bytes)
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -420,14 +511,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             data, off = flat(batch.column(1))
             lists = batch.column(2).to_pylist()
             out_spans, out_kept = [], []
-            for i, blobs in enumerate(lists):
+            for i, blob in enumerate(lists):
                 own = data[off[i] : off[i + 1]]
-                if not blobs:
+                if not blob:
                     out_spans.append([])
                     out_kept.append(own.tobytes())
                     continue
                 edge = np.zeros(len(own) + 1, np.int64)
-                pair = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
+                pair = np.frombuffer(blob, "<i8").reshape(-1, 2)
                 np.add.at(edge, pair[:, 0], 1)
                 np.add.at(edge, pair[:, 1], -1)
                 gone = np.cumsum(edge[:-1]) > 0
