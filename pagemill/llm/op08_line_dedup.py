@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, written
 
 FIELD = "<*>"
 
@@ -84,8 +84,8 @@ def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to drop (line_no from 0; text_key is the text's hash)."""
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    marks = cut(lines.select("doc_id", "text_key", "line_no", *LEAF, *LINE))
-    seen = cut(marks.select(*LEAF, *LINE, "doc_id").distinct())
+    marks = written(lines.select("doc_id", "text_key", "line_no", *LEAF, *LINE))
+    seen = written(marks.select(*LEAF, *LINE, "doc_id").distinct())
     kinds = seen.groupBy(*LEAF, *LINE).agg(F.count("*").alias("n_docs"))
     own = kinds.where(F.col("n_docs") >= min_docs).select(LINE)
 
