@@ -198,3 +198,48 @@ def evidence_map(pages: DataFrame, keys: list[str]) -> DataFrame:
 def ledger_row(batches: DataFrame) -> DataFrame:
     """Ledger rows as JSON; fields without a value are left out."""
     return batches.select("batch_id", F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("record"))
+
+
+def artifact_digests(shards: DataFrame, files: DataFrame) -> DataFrame:
+    """``batch_id, position, path, sha256`` of shards' artifacts, from a listing ``path, sha256``; a missing file has no digest."""
+    named = shards.select("batch_id", F.posexplode("artifacts").alias("position", "path"))
+    return named.join(files.select("path", "sha256"), "path", "left").select("batch_id", "position", "path", "sha256")
+
+
+def missing_artifacts(shards: DataFrame, files: DataFrame) -> DataFrame:
+    return artifact_digests(shards, files).where("sha256 is null").select(F.lit("shard").alias("entity"), F.col("batch_id").cast("string").alias("entity_key"), F.lit("missing-artifact").alias("rule_id"), F.col("path").alias("detail"))
+
+
+def same_artifacts(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Whether batches list the same artifacts with the same digests in the same order."""
+    lists = [x.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("position", "path", "sha256"))).alias(n)) for x, n in ((new, "a"), (old, "b"))]
+    return lists[0].join(lists[1], "batch_id").select("batch_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+def output_conflicts(selected: DataFrame, present: DataFrame, on: list[str], force: bool = False) -> DataFrame:
+    """Selected pages whose outputs are there already; none if they are to be replaced."""
+    found = selected.join(present.select(*on), on, "left_semi")
+    return found.limit(0) if force else found
+
+
+def invalidate(records: DataFrame, identities: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Records of sources whose identity is still the same; those of changed sources go, in every table alike."""
+    changed = identity_mismatches(records.select(key, *fields).distinct(), identities, key, fields).select(key)
+    return records.join(changed, key, "left_anti")
+
+
+def only_candidate(candidates: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The candidate of each key, where there is exactly one."""
+    found = candidates.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(column).alias(column))
+    return found.where("__n = 1").drop("__n")
+
+
+def folder_order(paths: DataFrame, deepest_first: bool = False) -> DataFrame:
+    """Paths by depth, then by name."""
+    depth = F.size(F.split("path", "/"))
+    return paths.orderBy(depth.desc() if deepest_first else depth, "path")
+
+
+def listed(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Different values of a key in order, joined for a message."""
+    return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(column)), ", ").alias(column))

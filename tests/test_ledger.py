@@ -149,3 +149,23 @@ def test_ledger_and_evidence_files(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"pages": [1], "page_records": {"1": {"page": 1, "file": "page-001.png", "dpi": 180, "layout": True}}}))
     r = files.read_evidence(spark, str(tmp_path / "e.json")).first()
     assert (r["key"], r["file"], r["dpi"], r["layout"]) == ("1", "page-001.png", 180, True)
+
+
+def test_artifacts_conflicts_and_invalidation(spark):
+    shards = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"])], "batch_id string, artifacts array<string>")
+    there = spark.createDataFrame([("x", "1"), ("z", "3")], "path string, sha256 string")
+    got = ledger.artifact_digests(shards, there)
+    assert sorted(tuple(r) for r in got.where("sha256 is not null").collect()) == [("a", 0, "x", "1"), ("b", 0, "z", "3")]
+    assert [r["detail"] for r in ledger.missing_artifacts(shards, there).collect()] == ["y"]
+    changed = got.withColumn("sha256", F.when(F.col("batch_id") == "b", "9").otherwise(F.col("sha256")))
+    assert {r["batch_id"]: r["same"] for r in ledger.same_artifacts(got, changed).collect()} == {"a": True, "b": False}
+    pages = spark.createDataFrame([(1,), (2,)], "page int")
+    assert [r["page"] for r in ledger.output_conflicts(pages, pages.where("page = 2"), ["page"]).collect()] == [2]
+    assert ledger.output_conflicts(pages, pages, ["page"], force=True).count() == 0
+    records = spark.createDataFrame([("s", "1", 5), ("t", "2", 6)], "source_id string, sha256 string, page int")
+    now = spark.createDataFrame([("s", "1"), ("t", "8")], "source_id string, sha256 string")
+    assert [r["source_id"] for r in ledger.invalidate(records, now, "source_id", ["sha256"]).collect()] == ["s"]
+    names = spark.createDataFrame([("k", "p/q/r"), ("k", "p"), ("m", "z")], "k string, path string")
+    assert [tuple(r) for r in ledger.only_candidate(names, ["k"], "path").collect()] == [("m", "z")]
+    assert [r["path"] for r in ledger.folder_order(names, deepest_first=True).collect()] == ["p/q/r", "p", "z"]
+    assert sorted(r["path"] for r in ledger.listed(names, ["k"], "path").collect()) == ["p, p/q/r", "z"]
