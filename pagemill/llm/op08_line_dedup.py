@@ -101,12 +101,12 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     most = places.groupBy(*LEAF, "place", "token").agg(F.sum("n_docs").alias("n"))
     most = most.groupBy(*LEAF, "place").agg(F.max(F.struct("n", "token")).alias("m")).select(*LEAF, "place", F.col("m.token").alias("common"))
     agree = places.join(most, [*LEAF, "place"]).groupBy(*LEAF, *LINE, "n_tokens").agg(F.sum((F.col("token") == F.col("common")).cast("long")).alias("same"))
-    members = agree.where(F.col("same") + F.least(F.lit(depth), F.col("n_tokens")) >= F.lit(similarity) * F.col("n_tokens")).select(*LEAF, *LINE)
-    member_docs = seen.join(members, [*LEAF, *LINE], "left_semi").select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs"))
+    members = cut(agree.where(F.col("same") + F.least(F.lit(depth), F.col("n_tokens")) >= F.lit(similarity) * F.col("n_tokens")).select(*LEAF, *LINE))
+    member_docs = _maybe_in(seen, members).join(members, [*LEAF, *LINE], "left_semi").select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs"))
     wide = members.join(member_docs.where(F.col("docs") >= min_docs), LEAF, "left_semi").select(LINE)
 
     drop = cut(own.unionByName(wide).distinct())
-    return marks.select("doc_id", "text_key", "line_no", *LINE).join(drop, LINE, "left_semi").select("doc_id", "text_key", "line_no")
+    return _maybe_in(marks.select("doc_id", "text_key", "line_no", *LINE), drop).join(drop, LINE, "left_semi").select("doc_id", "text_key", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
