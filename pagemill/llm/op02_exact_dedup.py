@@ -100,16 +100,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return hashed.groupBy("row", "id", "text_sha256", "n_bytes").agg(*sums).drop("row")
 
 
+#: Rows of one group of copies go to so many tasks when they get the group's figures.
+SALTS = 32
+
+
+def _salted(groups: DataFrame) -> DataFrame:
+    """A group's row for each salt; only groups of copies are repeated so."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, fields=FIELDS) -> DataFrame:
     """``id, keep_id, group_size, kept, text_sha256, n_bytes, h1, h2``, one row per input row."""
     key = ["n_bytes", "h1", "h2"]
     prints = cut(fingerprints(docs, id_col, text_col, chunk_bytes, fields))
+    salt = F.pmod(F.xxhash64("id", "text_sha256"), F.lit(SALTS)).cast("int").alias("salt")
     shared = prints.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
 
     # chunkwise comparison of the texts whose fingerprints meet
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     texts = docs.select(F.col(id_col).alias("id"), raw.alias("raw")).withColumn("text_sha256", F.sha2("raw", 256))
-    suspects = prints.join(shared, key).select("id", "text_sha256", *key).distinct()
+    suspects = prints.select("*", salt).join(_salted(shared), [*key, "salt"]).select("id", "text_sha256", *key).distinct()
     suspects = suspects.withColumnRenamed("id", "sid").withColumnRenamed("text_sha256", "ssha")
     met = texts.join(suspects, F.col("id").eqNullSafe(F.col("sid")) & (F.col("text_sha256") == F.col("ssha")))
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / chunk_bytes).cast("long"))
@@ -127,6 +137,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marks = marks.select("text_sha256", *key, "no", "rank").distinct().groupBy("text_sha256", *key)
         marks = marks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "rank"))), lambda x: x["rank"].cast("string")), ",").alias("mark"))
         classes = prints.join(marks, ["text_sha256", *key], "left").withColumn("mark", F.coalesce("mark", F.lit("")))
-    groups = classes.groupBy(*key, "mark").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = classes.join(groups, [*key, "mark"])
+    groups = classes.groupBy(*key, "mark").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    out = classes.select("*", salt).join(_salted(groups), [*key, "mark", "salt"], "left")
+    alone = F.col("group_size").isNull()
+    out = out.withColumn("keep_id", F.when(alone, F.col("id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.when(alone, F.lit(1).cast("long")).otherwise(F.col("group_size")))
     return out.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *key)
