@@ -6,9 +6,8 @@ again. ``run`` applies them to ``documents``.
 1. toxicity: documents that the classifier marks toxic go; null and empty texts stay or go by the
    classifier's intercept, as any text without known words.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
-3. near dedup: of each group of near-duplicates the row with the least doc_id stays. Fingerprints of
-   three-word shingles within 7 bits are near if those of five-word shingles are within 14,
-   which texts of a similarity of 0.8 and more mostly are.
+3. near dedup: of each group of near-duplicates the row with the least doc_id stays. Texts are near if
+   their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is computed.
 4. decontamination: documents that the benchmark contaminates (a twentieth of the words or more) go.
 5. packing: all tokens that are left, as pieces of training sequences.
 
@@ -23,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import op01_packing, op02_exact_dedup, op04_decontamination, op06_toxicity, op09_simhash
+from pagemill.llm import near_copies, op01_packing, op02_exact_dedup, op04_decontamination, op06_toxicity
 from pagemill.llm.queries import contamination_digest, vocabulary
 from pagemill.llm.session import ensure_checkpoint_dir, table
 
@@ -40,7 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op09_simhash.near_duplicates(docs, size=3, distance=7, parts=4, check_size=5, check_distance=14)
+    found = near_copies.near_copies(docs, size=5)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
