@@ -114,7 +114,13 @@ class Words:
         self.count = np.diff(self.first)
         if hashed:
             value = np.where(inside, BYTE_VALUE[LOWER] if lower else BYTE_VALUE, U64(0))
-            self.hash = spans_hash(value[data], self.start, self.stop)
+            parts, i = [], 0
+            while i < len(self.start):  # some megabytes at a time: eight bytes are held for each byte
+                j = max(i + 1, int(np.searchsorted(self.stop, self.start[i] + SLICE_BYTES, side="right")))
+                a, b = int(self.start[i]), int(self.stop[j - 1])
+                parts.append(spans_hash(value[data[a:b]], self.start[i:j] - a, self.stop[i:j] - a))
+                i = j
+            self.hash = np.concatenate(parts) if parts else np.zeros(0, U64)
 
     def text_of(self) -> np.ndarray:
         """The text number of each word."""

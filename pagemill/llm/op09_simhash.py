@@ -4,17 +4,17 @@ A fingerprint has a bit where over half of a text's shingle hashes have it. Equa
 fingerprints fold into one (their least doc_id stands for them) before any search. A
 fingerprint is cut into segments; two fingerprints at distance at most ``d`` differ in
 some segment by at most ``r = d // segments``. Each one is put in a table under each of its
-segments, and looks up the Hamming ball of radius r (0 or 1) around each segment. What
-meets under a key is compared in full. A key's fingerprints are linked by a spanning
+segments, and looks up the upper half of the Hamming ball of radius r (0 or 1) around each
+segment: of two values that differ in one bit, the one with the zero looks up the other.
+What meets under a key is compared in full. A key's fingerprints are linked by a spanning
 forest of true links, not by all pairs, so a dense group gives no more links than
-members. Components are computed from the links.
-
-Links may be checked against a second fingerprint of longer shingles, so that texts which
-differ too much, or whose first fingerprints are near by chance, stay apart.
+members. Components are computed from the links; their nodes are the fingerprints.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other; texts
 shorter than the shingle are one shingle; rows that repeat a doc_id are allowed (their
-component is the least over their fingerprints); an empty table gives an empty result.
+component is the least over their fingerprints); a row with a null doc_id links others, and
+its component is the least doc_id that there is, or null; an empty table gives an empty result.
+A text of any length is hashed whole; one task holds about 40 times its bytes.
 """
 
 from __future__ import annotations
@@ -70,20 +70,18 @@ def simhash(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, size: int, check_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, check``: 64 bits each as a signed long; check is 0 without ``check_size``."""
+def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint``: 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
             data, off = flat(batch.column(1))
-            own, check = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            own = [np.zeros(0, np.uint64)]
             for i, j in slices(off):
-                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                own.append(simhash(*shingle_hashes(part, o, size)))
-                check.append(simhash(*shingle_hashes(part, o, check_size)) if check_size else np.zeros(j - i, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x).view(np.int64)) for x in (own, check))], ["doc_id", "fingerprint", "check"])
+                own.append(simhash(*shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], size)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(own).view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fingerprint long, check long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def segments(parts: int) -> list[tuple[int, int]]:
@@ -92,7 +90,7 @@ def segments(parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def forest(first: np.ndarray, second: np.ndarray, distance: int, check_distance: int) -> np.ndarray:
+def forest(first: np.ndarray, distance: int) -> np.ndarray:
     """Spanning links (index pairs) of near values: breadth-first, each value visited once."""
     left, out = np.arange(len(first)), []
     while len(left):
@@ -100,7 +98,6 @@ def forest(first: np.ndarray, second: np.ndarray, distance: int, check_distance:
         while queue and len(left):
             x = queue.pop()
             near = popcount(first[left] ^ first[x]) <= distance
-            near &= popcount(second[left] ^ second[x]) <= check_distance
             out += [(x, int(y)) for y in left[near]]
             queue += left[near].tolist()
             left = left[~near]
@@ -128,8 +125,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PAIRS = 1 << 21  # pairs compared at once
 
 
-def links(prints: DataFrame, distance: int, parts: int, check_distance: int = 64) -> DataFrame:
-    """``a, b``: links that connect the near nodes of ``prints (fingerprint, check, node: long)``."""
+def links(prints: DataFrame, distance: int, parts: int) -> DataFrame:
+    """``a, b``: links that connect the near ones among the different ``fingerprint``s of ``prints``; a is larger as a signed number."""
     radius = distance // parts
     if radius > 1:
         raise ValueError("more segments are needed: the ball's radius is over 1")
@@ -141,17 +138,18 @@ def links(prints: DataFrame, distance: int, parts: int, check_distance: int = 64
             for k, (shift, bits) in enumerate(table):
                 own = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
                 for flip in [0, *[1 << b for b in range(bits * radius)]]:
-                    key = (own ^ np.uint64(flip)).astype(np.int64) * parts + k
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "fingerprint", "check", "node"])
+                    asks = np.flatnonzero(own & np.uint64(flip) == 0)
+                    key = (own[asks] | np.uint64(flip)).astype(np.int64) * parts + k
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[asks].view(np.int64))], ["key", "fingerprint"])
 
     def verify(batches):
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not got:
             return
-        key, fp, check, node = (np.concatenate(c) for c in zip(*got, strict=True))
+        key, fp = (np.concatenate(c) for c in zip(*got, strict=True))
         del got
         order = np.argsort(key, kind="stable")
-        key, fp, check, node = key[order], fp[order].view(np.uint64), check[order].view(np.uint64), node[order]
+        key, fp = key[order], fp[order].view(np.uint64)
         if not len(key):
             return
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -175,30 +173,31 @@ def links(prints: DataFrame, distance: int, parts: int, check_distance: int = 64
             one = np.repeat(one, size[group[one]])
             near = one != other
             near &= popcount(fp[one] ^ fp[other]) <= distance
-            near &= popcount(check[one] ^ check[other]) <= check_distance
             x, y = spanning(one[near], other[near])
             a.append(x)
             b.append(y)
             at = to
         for g in np.flatnonzero(large & (homes > 0)):
             s = slice(start[g], start[g] + size[g])
-            found = forest(fp[s], check[s], distance, check_distance) + start[g]
+            found = forest(fp[s], distance) + start[g]
             a.append(found[:, 0])
             b.append(found[:, 1])
-        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+        a, b = (fp[np.concatenate(x)].view(np.int64) for x in (a, b))
         if len(a):
             pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, c])) for c in (0, 1)], ["a", "b"])
 
-    probes = prints.select("fingerprint", "check", "node").mapInArrow(probe, "key long, fingerprint long, check long, node long")
+    probes = prints.select("fingerprint").mapInArrow(probe, "key long, fingerprint long")
     return probes.repartition("key").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, distance: int = 3, parts: int = 2, check_size: int | None = None, check_distance: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, distance: int = 3, parts: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint (16 hex digits), component_id`` of every row of ``docs``."""
-    own = cut(fingerprints(docs, size, check_size, id_col, text_col))
-    nodes = own.groupBy("fingerprint", "check").agg(F.min("doc_id").alias("node"))
-    joined = components(links(nodes, distance, parts, check_distance))
-    label = nodes.join(joined, "node", "left").select("fingerprint", "check", F.coalesce("component", "node").alias("component_id"))
-    out = own.join(label, ["fingerprint", "check"])
+    own = cut(fingerprints(docs, size, id_col, text_col))
+    nodes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    joined = components(links(nodes, distance, parts))
+    group = nodes.join(joined, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
+    ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = group.join(ids, "component").select("fingerprint", "component_id")
+    out = own.join(label, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -36,17 +36,16 @@ def brute(rows, items, window):
 
 @pytest.mark.parametrize(("window", "block"), [(13, 1 << 20), (2, 1 << 20), (1, 1 << 20), (3, 20)])
 def test_against_brute_force(spark, odd_docs, odd_rows, window, block):
-    once = [r for r in odd_rows if block > 100 or [x[0] for x in odd_rows].count(r[0]) == 1]  # blocks merge rows of a doc_id
-    docs = odd_docs if block > 100 else odd_docs.where("doc_id is not null and doc_id <> 7")
+    """Each row by itself, repeated and null ids too, whatever the number of blocks."""
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = []
-    for r in find_contamination(docs, bench, window, block).collect():
+    for r in find_contamination(odd_docs, bench, window, block).collect():
         hit = [False] * r["n_words"]
         for s in r["spans"]:
             hit[s["start"] : s["stop"]] = [True] * (s["stop"] - s["start"])
         assert all(a["stop"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
         got.append((r["doc_id"], r["n_words"], hit, r["item_ids"]))
-    assert sorted(got, key=str) == brute(once, ITEMS, window)
+    assert sorted(got, key=str) == brute(odd_rows, ITEMS, window)
 
 
 def test_rule_of_a_twentieth(spark):
@@ -56,6 +55,15 @@ def test_rule_of_a_twentieth(spark):
     assert got == {1: (2, True), 2: (2, False), 3: (0, False)}
 
 
+def test_rows_keep_their_numbers(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = odd_docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("no"))
+    one, more = (sorted(map(str, find_contamination(docs, bench, 2, b, keep_row="no").collect())) for b in (1 << 20, 20))
+    assert one == more and len(one) == docs.count()
+
+
 def test_empty_tables(spark, no_docs, odd_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(no_docs, bench).count() == 0
@@ -68,7 +76,7 @@ def test_index_counts_and_locates():
     text[-1] = 0
     index = FMIndex(text, 3)
     pattern = rng.integers(1, 4, (50, 3))
-    lo, hi = index.search(pattern)
+    lo, hi = index.search(pattern.ravel(), np.arange(0, 150, 3), 3)
     for p, a, b in zip(pattern, lo, hi, strict=True):
         at = [i for i in range(len(text) - 2) if (text[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == at
