@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-MinHash bands only propose: texts that share a band's ``ROWS`` least hashes form a group, and
-within a group the shingle sets themselves are compared. A link stands for a similarity
+Two searches only propose: SimHash fingerprints that multi-index hashing finds within three bits
+of each other, and MinHash bands, where texts that share a band's ``ROWS`` least hashes form a group.
+Within what is proposed the shingle sets themselves are compared. A link stands for a similarity
 of at least four fifths, never for an estimate. A pair at exactly 0.8 meets in none of the
 ``BANDS`` bands with a chance of (1 - 0.8**6)**48, under one in two million for independent hashes; closer pairs more rarely.
 
@@ -10,19 +11,20 @@ into one before sets are sent to them, and groups of one are never sent. A group
 by a spanning forest of true links, so a dense group gives no more links than members.
 
 Cases: texts without words have one (empty) set and are copies of each other; texts shorter than
-the shingle are one shingle; a null doc_id links others but is never the least one.
+the shingle are one shingle; a null doc_id links others but is never the least one; rows that repeat a
+doc_id are told apart by the hash of their texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import flat, slices, spread
 from .components import components
-from .op09_simhash import shingle_hashes
+from .op09_simhash import links, shingle_hashes, simhash
 from .session import cut
 
 ROWS, BANDS = 6, 48
@@ -33,7 +35,10 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of each text in order, and how many each has."""
-    h, count = shingle_hashes(data, off, size)
+    return _sets(*shingle_hashes(data, off, size))
+
+
+def _sets(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(count)), count)
     h = h[np.lexsort((h, text))]
     first = np.ones(len(h), bool)
@@ -67,18 +72,34 @@ def band_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, node, keys``: the digest of each row's set and its band keys."""
+    """``doc_id, text_sha256, node, fingerprint, keys``: the digest of each row's set, its SimHash and its band keys."""
 
     def run(batches):
         for batch in batches:
-            data, off = flat(batch.column(1))
+            data, off = flat(batch.column(2))
             for i, j in slices(off):
-                h, n = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                every, count = shingle_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                h, n = _sets(every, count)
                 edge = np.concatenate([[0], np.cumsum(BANDS * (n > 0))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(edge), pa.array(band_keys(h, n).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(digests(h, n)), keys], ["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(digests(h, n)), pa.array(simhash(every, count).view(np.int64)), keys], ["doc_id", "text_sha256", "node", "fingerprint", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), sha(text_col).alias("text_sha256"), text_col)
+    return rows.mapInArrow(run, "doc_id long, text_sha256 string, node long, fingerprint long, keys array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, node long, keys array<long>")
+
+def sha(text_col: str = "text") -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+
+
+def near_prints(own: DataFrame, distance: int = 3, parts: int = 2) -> DataFrame:
+    """``grp, node`` of the nodes whose fingerprints are equal or linked by multi-index hashing."""
+    nodes = own.select("fingerprint", "node").distinct()
+    pairs = links(own.select("fingerprint").distinct(), distance, parts)
+    linked = pairs.select(F.xxhash64("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("fingerprint"))
+    equal = nodes.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("fingerprint").alias("grp"), "fingerprint")
+    return linked.unionByName(equal).join(nodes, "fingerprint").select("grp", "node")
 
 
 def groups(keys: DataFrame) -> DataFrame:
@@ -169,11 +190,18 @@ def verified(docs: DataFrame, own: DataFrame, met: DataFrame, size: int, id_col:
 
 
 def near_copies(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every row; a component's id is its least doc_id."""
+    """``doc_id, text_sha256, component_id, kept`` of every row; a component's id is its least doc_id.
+
+    Of each component the row with the least doc_id is kept, of equal ids that with the least hash; rows
+    equal in both share their verdict.
+    """
     own = cut(sketches(docs, size, id_col, text_col))
     keys = own.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
-    met = cut(groups(keys))
+    met = cut(groups(keys).unionByName(near_prints(own)).distinct())
     joined = components(verified(docs, own, met, size, id_col, text_col))
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(nodes.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("least")
+    nodes = own.groupBy("node").agg(first).join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("least"))
+    label = nodes.select("node", "component").join(least, "component").select("node", "least")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_sha256") == F.col("least.text_sha256"))
+    return own.select("doc_id", "text_sha256", "node").join(label, "node").select("doc_id", "text_sha256", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))

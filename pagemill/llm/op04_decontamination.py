@@ -302,3 +302,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         names = rows.select(F.col("row.no").alias("no"), F.col("row.kept").alias("kept"))
         merged = merged.join(names, F.col("row") == F.col("no")).withColumn("row", F.col("kept"))
     return merged.select(columns)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of whose words less than one in ``share`` is hit, or none; each row is judged by its own text."""
+    n, parts = blocks(benchmark, "item_id", "text", block_bytes)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    if n > 1:
+        rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+        found = find_contamination(rows.withColumn("__none", F.lit(None).cast("long")), benchmark, window, block_bytes, "__none", text_col, keep_row="__row")
+        gone = found.where((hit > 0) & (share * hit >= F.col("n_words"))).select(F.col("row").alias("__row"))
+        return rows.join(gone, "__row", "left_anti").drop("__row")
+    got = next(parts).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(Phrases(got.column("item_id").combine_chunks(), got.column("text").combine_chunks(), window))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            data, off = flat(batch.column(place))
+            keep, shard = np.ones(batch.num_rows, bool), Shard(sent.value)
+            first = 0
+            for i, j in slices(off, SLICE_BYTES):
+                shard.add(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if shard.size >= SHARD_SYMBOLS or j == batch.num_rows or off[j] - off[first] >= 8 * SLICE_BYTES:
+                    for k, (n_words, spans, _) in enumerate(shard.hits(), first):
+                        n_hit = sum(b - a for a, b in spans)
+                        keep[k] = not (n_hit and share * n_hit >= n_words)
+                    shard, first = Shard(sent.value), j
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

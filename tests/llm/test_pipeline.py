@@ -7,8 +7,8 @@ import pytest
 import corpus_pipeline
 from pagemill.llm.op06_toxicity import fit, toxicity
 
+from .test_near_copies import brute as near
 from .test_op04_decontamination import brute as hits
-from .test_op09_simhash import fingerprint
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -47,18 +47,9 @@ def test_exact_dedup(stages):
 
 
 def test_near_dedup(stages):
-    rows = stages[2].collect()
-    a, b = ({r["doc_id"]: fingerprint(r["text"], k) for r in rows} for k in (3, 5))
-    label = {d: d for d in a}
-    for _ in range(len(a)):
-        old = dict(label)
-        for x in a:
-            for y in a:
-                if label[x] != label[y] and (a[x] ^ a[y]).bit_count() <= 7 and (b[x] ^ b[y]).bit_count() <= 14:
-                    label[x] = label[y] = min(label[x], label[y])
-        if old == label:
-            break
-    assert ids(stages[3]) == {d for d, least in label.items() if d == least}
+    rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    want, _ = near(rows)
+    assert ids(stages[3]) == {d for d, least in want.items() if d == least}
 
 
 def test_decontamination(spark, stages):
