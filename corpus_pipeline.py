@@ -7,12 +7,15 @@ again. ``run`` applies them to ``documents``.
    classifier's intercept, as any text without known words.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
 3. near dedup: of each group of near-duplicates the row with the least doc_id stays. Texts are near if
-   their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is computed.
+   their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which is computed; SimHash
+   and MinHash only propose.
 4. decontamination: documents that the benchmark contaminates (a twentieth of the words or more) go.
 5. packing: all tokens that are left, as pieces of training sequences.
 
-Rows that repeat a doc_id and a text share their verdicts. Columns beside the text are kept up to the
-last stage. Empty tables give empty results.
+A row is judged by itself: what goes is told by doc_id (null is a value like any other) and the hash of the
+text, never by doc_id alone. Of rows that repeat both, the dedup stages keep one. Columns beside the text
+are kept up to the last stage, whatever their names; names that begin with two underscores are the
+stages' own. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,31 +26,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import near_copies, op01_packing, op02_exact_dedup, op04_decontamination, op06_toxicity
-from pagemill.llm.queries import contamination_digest, vocabulary
-from pagemill.llm.session import ensure_checkpoint_dir, table
+from pagemill.llm.queries import vocabulary
+from pagemill.llm.session import cut, ensure_checkpoint_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op06_toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def stay(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found (doc_id, text_sha256, kept)`` keeps; of rows that repeat both, one."""
+    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["__id"]) & (near_copies.sha() == b["__sha"])
+    gone = found.where("not kept").select(key).distinct()
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    repeated = cut(found.where("kept").groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"))
+    if repeated.isEmpty():
+        return left
+    single = left.join(repeated, same(left, repeated), "left_anti")
+    return single.unionByName(left.join(repeated, same(left, repeated)).dropDuplicates(["__id", "__sha"]).select(docs.columns))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = op02_exact_dedup.exact_duplicates(docs)
-    gone = found.where("not kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    own = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (own == gone["__sha"]), "left_anti")
+    return stay(docs, found.select(F.col("id").alias("doc_id"), "text_sha256", "kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_copies.near_copies(docs, size=5)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return stay(docs, cut(near_copies.near_copies(docs, size=5)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination_digest(op04_decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return op04_decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
