@@ -12,14 +12,20 @@ Windows are dealt to step groups of ``step`` windows from a buffer of several st
 snake order of their attention cost (the sum of squared piece lengths), so steps cost
 about the same.
 
-Cases: a null or empty text is its end id alone; rows that repeat a doc_id are packed
-each by itself; an empty table gives no rows; other columns are ignored. A special
-token's string inside a text is ordinary text.
+Ids are those of ``tokenizers`` with its default settings. They come from ``tiktoken`` over the same
+merges, which is faster; a string of an added token becomes its id, and a text that
+is too much for that library's patterns (a run of some hundred thousand blanks) goes through ``tokenizers``.
+
+Cases: a null or empty text is its end id alone; rows that repeat a doc_id, or have none, are packed
+each by itself; an empty table gives no rows; other columns are ignored. A long text is encoded whole:
+a task holds its bytes some twenty times.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -32,17 +38,36 @@ TIERS = (1024, 512, 256, 128)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
 
-def load_encoder(vocabulary: str):
-    """A byte-level BPE of which ``vocabulary`` is the tokenizers file; encodes by the ranks of the same merges.
+class Encoder:
+    """The byte-level BPE of ``vocabulary`` (a tokenizers file; its ranks lie beside it with the ending .tiktoken)."""
 
-    The file's name ends in .json; the ranks lie beside it with the ending .tiktoken.
-    """
-    import public_tokenizers
-    import tiktoken
+    def __init__(self, vocabulary: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.path, self.plain = vocabulary, None
+        with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(vocabulary) as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def _part(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False)
+        except ValueError:  # its pattern's stack is too small for this text
+            if self.plain is None:
+                from tokenizers import Tokenizer
+
+                self.plain = Tokenizer.from_file(self.path)
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4")
 
-    with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __call__(self, text: str) -> np.ndarray:
+        if self.cut is None or not any(t in text for t in self.added):
+            return self._part(text)
+        parts = [np.array([self.added[p]], "<u4") if p in self.added else self._part(p) for p in self.cut.split(text) if p]
+        return np.concatenate(parts)
 
 
 class Packer:
@@ -144,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, tiers=TIERS, pool: i
     """
 
     def run(batches):
-        encode, packer = load_encoder(vocabulary).encode_to_numpy, Packer(tiers, pool, step)
+        encode, packer = Encoder(vocabulary), Packer(tiers, pool, step)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
@@ -164,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, tiers=TIERS, pool: i
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids = np.concatenate([encode(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False), end]) if text else end
+                ids = np.concatenate([encode(text), end]) if text else end
                 take(packer.add(doc, ids))
                 if len(rows) >= 4096:
                     yield flush()

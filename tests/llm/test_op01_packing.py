@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagemill.llm.op01_packing import Packer, pack
+from pagemill.llm.op01_packing import Encoder, Packer, pack
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,7 +14,6 @@ def test_pieces_give_every_document_back(odd_docs, odd_rows):
     """Rows with an id used once: ids match the tokenizer, pieces are gapless, sequences are at most 1024 long."""
     rows = pack(odd_docs, VOCABULARY).collect()
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     by, windows = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -39,9 +38,16 @@ def test_pieces_give_every_document_back(odd_docs, odd_rows):
         assert at == w[0]["sequence_tokens"] <= 1024 and at & (at - 1) == 0  # nothing is padded
 
 
-def test_special_strings_are_ordinary_text(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    assert 50256 not in np.frombuffer(pack(docs, VOCABULARY).first()["ids"], "<u4")
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y <|endoftext", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "z" * 1_000_000, "q <|endoftext|>" + "\t" * 1_000_000 + " <|endoftext|>", "\u00e9\u3000" * 1000])
+def test_ids_are_those_of_the_tokenizer(text):
+    """With its default settings; strings of added tokens and long runs of one character too."""
+    assert Encoder(VOCABULARY)(text).tolist() == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_text_of_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (None, "x <|endoftext|>")], "doc_id long, text string")
+    assert 50256 in np.frombuffer(pack(docs, VOCABULARY).where("doc_id is null").first()["ids"], "<u4")
+    assert pack(docs, VOCABULARY).where("doc_id = 1").count() > 900
 
 
 def test_empty_table(no_docs):
