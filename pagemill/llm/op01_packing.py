@@ -2,10 +2,9 @@
 
 Each partition packs what it reads, without a shuffle. A document's tokens, with the
 end id, first give whole windows of the longest tier. The rest is routed to a tier by its
-length: the shortest tier that holds it. Rests of the longest tier open a long window,
-and its gap is filled from the shorter tiers, best fit first; when no piece fits, one
-is cut to fit. What is left in the short tiers is packed the same way, tier by tier,
-and the last tokens of a partition go to windows whose lengths are powers of two, which
+length: the shortest tier that holds it. A rest opens a window of its tier, whose gap is
+filled from that tier and the shorter ones, best fit first; when no piece fits, one
+is cut to fit. The last tokens of a partition go to windows whose lengths are powers of two, which
 need no padding. Waiting pieces are bounded (``pool`` for each tier), so memory is too.
 
 Windows are dealt to step groups of ``step`` windows from a buffer of several steps, in
@@ -100,9 +99,9 @@ class Packer:
         self.come += 1
 
     def open(self, t: int) -> Iterator[tuple]:
-        """Start a longest window with the longest piece waiting in tier t and fill its gap."""
+        """Start a window of tier t with its longest waiting piece and fill the gap."""
         window = [self.waiting[t].pop()[2]]
-        gap = self.top - len(window[0][2])
+        gap = t - len(window[0][2])
         while gap:
             found = None
             for s in self.tiers:  # the longest waiting piece that fits

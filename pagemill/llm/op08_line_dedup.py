@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import maybe_in
 from .session import cut, written
 
 FIELD = "<*>"
@@ -62,25 +63,6 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens:
 LEAF, LINE = ["leaf1", "leaf2"], ["line1", "line2"]
 
 
-#: Words of 64 bits in the filter below: it is 1 MB whatever the input is.
-WORDS = 1 << 17
-
-
-def _maybe_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lines`` without most of those that are not in ``wanted``, by a bit map of fixed size; a join does the rest.
-
-    It keeps most lines' texts out of the join's shuffle. A full map lets all through.
-    """
-    place = F.pmod("line1", F.lit(WORDS * 64))
-    word, bit = F.shiftright(place, 6).cast("int"), (place % 64).cast("int")
-    set_bits = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(line1, 64) as int))").alias("b")).groupBy("word").agg(F.bit_or("b").alias("b"))
-    dense = wanted.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("word")).join(set_bits, "word", "left")
-    rows = dense.select(F.struct("word", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("s"))
-    # WORDS rows, gathered to the one row that is sent
-    bits = rows.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]).alias("bits"))
-    return lines.join(F.broadcast(cut(bits)), F.getbit(F.element_at("bits", word + 1), bit) == 1, "left_semi")
-
-
 def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_key, line_no`` of every line to drop (line_no from 0; text_key is the text's hash)."""
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
@@ -93,7 +75,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     leaf_docs = seen.select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     shared = kinds.groupBy(LEAF).agg(F.count("*").alias("kinds")).where("kinds > 1").join(leaf_docs, LEAF, "left_semi").select(LEAF)
     inside = cut(kinds.join(shared, LEAF, "left_semi"))
-    texts = _maybe_in(lines.select(*LINE, "n_tokens", "whole"), inside).join(inside.select(*LEAF, *LINE, "n_docs"), LINE)
+    texts = maybe_in(lines.select(*LINE, "n_tokens", "whole"), inside, "line1").join(inside.select(*LEAF, *LINE, "n_docs"), LINE)
     texts = texts.dropDuplicates(LINE)
     rest = F.slice(F.split("whole", " "), depth + 1, F.greatest(F.lit(1), F.col("n_tokens")))
     places = texts.select(*LEAF, *LINE, "n_docs", "n_tokens", F.posexplode(rest).alias("place", "token"))
@@ -102,11 +84,11 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     most = most.groupBy(*LEAF, "place").agg(F.max(F.struct("n", "token")).alias("m")).select(*LEAF, "place", F.col("m.token").alias("common"))
     agree = places.join(most, [*LEAF, "place"]).groupBy(*LEAF, *LINE, "n_tokens").agg(F.sum((F.col("token") == F.col("common")).cast("long")).alias("same"))
     members = cut(agree.where(F.col("same") + F.least(F.lit(depth), F.col("n_tokens")) >= F.lit(similarity) * F.col("n_tokens")).select(*LEAF, *LINE))
-    member_docs = _maybe_in(seen, members).join(members, [*LEAF, *LINE], "left_semi").select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs"))
+    member_docs = maybe_in(seen, members, "line1").join(members, [*LEAF, *LINE], "left_semi").select(*LEAF, "doc_id").distinct().groupBy(LEAF).agg(F.count("*").alias("docs"))
     wide = members.join(member_docs.where(F.col("docs") >= min_docs), LEAF, "left_semi").select(LINE)
 
     drop = cut(own.unionByName(wide).distinct())
-    return _maybe_in(marks.select("doc_id", "text_key", "line_no", *LINE), drop).join(drop, LINE, "left_semi").select("doc_id", "text_key", "line_no")
+    return maybe_in(marks.select("doc_id", "text_key", "line_no", *LINE), drop, "line1").join(drop, LINE, "left_semi").select("doc_id", "text_key", "line_no")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -1,52 +1,58 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over bytes, with n-grams of four. It is trained on trusted text: documents
-that ``labels.quality`` marks 1. Tasks count 4-grams of what they read; a grouped sum
-joins the counts in shards of the 4-gram (there are at most 2**32, in text well under a
-million kinds). Lower orders count continuations. Discounts for counts of one, two and
-three or more come from the counts of counts of each order. Documents' 4-grams are
-joined with the sharded counts in hash tables; what a document's bytes give is its
-perplexity, with ``weight`` bytes of average trusted text added, so that a few
-characters cannot decide. A document is kept if its perplexity is no more than ``slack``
-times the trusted documents' ``quantile`` in its language.
-
-The counts that are sent to the executors are bounded: beyond ``max_grams`` kinds, the rarest
-are left to the lower orders. All trusted rows are counted; every row is scored whole.
+The model is over bytes, with n-grams of ``ORDER`` = 5. It is trained on trusted text: documents
+that ``labels.quality`` marks 1. Tasks count the n-grams of what they read; a grouped sum
+joins the counts, which stay in shards of the n-gram. Lower orders count continuations. Discounts for
+counts of one, two and three or more come from the counts of counts of each order. Only the
+counts of counts and the two lowest orders, at most 65,536 rows, reach the driver.
+
+Documents are scored by joins with the sharded counts. A slice of documents (some megabytes) asks for
+each of its n-grams once; the n-grams that any slice asks for get their probability by one join for
+each order with the shares of n-grams and one with the masses of contexts; the answers
+go back to their slices, whose bytes they meet again there. A document's perplexity has ``weight`` bytes
+of average trusted text added, so that a few characters cannot decide. A document is kept if its
+perplexity is no more than ``slack`` times the trusted documents' ``quantile`` in its language.
+
+All trusted rows and all n-grams are counted; every row is scored whole. Nothing is sent everywhere but
+the 65,536 rows, a bit map of 1 MB, and thresholds of at most ``MAX_LANGS`` languages. ``docs`` must be a
+table scan or another plan that gives the same rows in the same order when it is run again; a slice that
+meets other answers than it asked for stops with an error.
 
 Cases: null and empty texts have the perplexity of average trusted text and are kept;
 a null language is a language of its own; one without trusted documents has the threshold of
 all trusted documents together; without any trusted text the model is uniform and keeps all;
-rows that repeat are scored each by itself; an empty table gives an empty result; other
-columns are ignored.
+rows that repeat, or have a null doc_id, are scored each by itself; a text of any length is one slice, and a task
+holds some 50 bytes for each of its bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import maybe_in
 from .bytes_np import flat, slices
-from .session import cut
+from .session import cut, written
 
-ORDER = 4
+ORDER = 5
+SLICE = 16 << 20  # bytes of documents that ask together
 MAX_LANGS = 10_000  # up to so many languages their thresholds are sent to every task
 GRID = 1000  # steps of log10 perplexity in the histograms that quantiles are read from
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each byte; three line feeds stand before each text."""
-    size = np.diff(off)
-    padded = np.full(int(off[-1]) + 3 * len(size), 10, np.uint8)
+def grams(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at each byte, as a number; line feeds stand before each text."""
+    size, front = np.diff(off), order - 1
+    padded = np.full(int(off[-1]) + front * len(size), 10, np.uint8)
     keep = np.ones(len(padded), bool)
-    front = (off[:-1] + 3 * np.arange(len(size)))[:, None] + np.arange(3)
-    keep[front.ravel()] = False
+    keep[((off[:-1] + front * np.arange(len(size)))[:, None] + np.arange(front)).ravel()] = False
     padded[keep] = data
-    wide = padded.astype(np.uint32)
-    g = wide.copy()
-    for k in range(1, ORDER):
-        g[k:] |= wide[:-k] << np.uint32(8 * k)
+    g = padded.astype(np.int64)
+    for k in range(1, order):
+        g[k:] |= padded[:-k].astype(np.int64) << 8 * k
     return g[keep]
 
 
@@ -58,123 +64,157 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
             data, off = flat(batch.column(0))
             for i, j in slices(off):
                 gram, n = np.unique(grams(data[off[i] : off[j]], off[i : j + 1] - off[i]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     return docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Discount for a count of 0, 1, 2, 3 and more (modified Kneser-Ney)."""
-    t = [np.count_nonzero(n == k) for k in (1, 2, 3, 4)]
+def discounts(t: list[int]) -> list[float]:
+    """Discount for a count of 1, 2, 3 and more, from how many n-grams have a count of 1, 2, 3, 4 (modified Kneser-Ney)."""
     if not t[0] or not t[1]:
-        return np.array([0, 0.5, 0.75, 0.9])
+        return [0.5, 0.75, 0.9]
     y = t[0] / (t[0] + 2 * t[1])
     d = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k for k in (1, 2, 3)]
-    return np.array([0, *(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))])
+    return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True)]
 
 
-def level(context: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Discounted share of each n-gram in its context, and each context's total and mass left for lower orders."""
-    d = discounts(n)[np.minimum(n, 3)]
-    total = np.bincount(context, n, minlength=size)
-    left = np.bincount(context, d, minlength=size)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mass = np.where(total > 0, left / total, 1.0)
-    return (n - d) / total[context], total, mass
+def suffix(gram: Column, order: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-class Model:
-    """log10 probabilities of 4-grams. Orders up to three are dense tables (64 MB at most), the fourth a hash table."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        gram, n = gram.astype(np.int64), n.astype(np.int64)
-        three, n3 = np.unique(gram & 0xFFFFFF, return_counts=True)
-        two, n2 = np.unique(three & 0xFFFF, return_counts=True)
-        one, n1 = np.unique(two & 0xFF, return_counts=True)
-        p1 = np.full(256, 1 / 256)
-        if len(one):
-            share, _, mass = level(np.zeros(len(one), np.int64), n1, 1)
-            p1 *= mass[0]
-            p1[one] += share
-        share, _, mass = level(two >> 8, n2, 256)
-        p2 = (mass[:, None] * p1[None, :]).ravel()
-        p2[two] += share
-        share, total, mass = level(three >> 8, n3, 65536)
-        seen = np.flatnonzero(total > 0)
-        self.context = np.zeros(65536, np.int32)  # place of the order-3 row of each two bytes; row 256.. are seen contexts
-        self.context[:] = np.arange(65536) & 0xFF
-        self.context[seen] = 256 + np.arange(len(seen))
-        rows = np.empty((256 + len(seen), 256))
-        rows[:256] = p2.reshape(256, 256)
-        rows[256:] = mass[seen][:, None] * p2.reshape(256, 256)[seen & 0xFF]
-        rows[self.context[three >> 8], three & 0xFF] += share
-        self.p3 = np.log10(rows).astype(np.float32).ravel()
-        # order four: the gram's own log probability, and the mass left in each context of three bytes
-        share, total, mass = level(np.searchsorted(c3 := np.unique(gram >> 8), gram >> 8), n, max(1, len(c3)))
-        p = share + mass[np.searchsorted(c3, gram >> 8)] * rows[self.context[gram >> 8 & 0xFFFF], gram & 0xFF]
-        self.left = np.zeros(1 << 24, np.float32)
-        self.left[c3] = np.log10(mass[: len(c3)])
-        self.bits = max(4, int(2 * len(gram)).bit_length())
-        self.key = np.full(1 << self.bits, 0, np.uint32)
-        self.log4 = np.full(1 << self.bits, np.nan, np.float32)
-        todo = np.arange(len(gram))
-        at = self.slot(gram.astype(np.uint32))
-        while len(todo):
-            free = np.isnan(self.log4[at[todo]])
-            spot, who = np.unique(at[todo[free]], return_index=True)
-            placed = todo[free][who]
-            self.key[spot], self.log4[spot] = gram[placed], np.log10(p[placed])
-            todo = np.setdiff1d(todo, placed)
-            at[todo] = at[todo] + 1 & (1 << self.bits) - 1
-
-    def slot(self, gram: np.ndarray) -> np.ndarray:
-        return (gram * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        out = self.left[gram >> np.uint32(8)] + self.p3[self.context[gram >> np.uint32(8) & np.uint32(0xFFFF)] * 256 + (gram & np.uint32(0xFF)).astype(np.int64)]
-        at, todo = self.slot(gram), np.arange(len(gram))
-        while len(todo):
-            found = self.log4[at]
-            same = ~np.isnan(found) & (self.key[at] == gram[todo])
-            out[todo[same]] = found[same]
-            go = ~np.isnan(found) & ~same
-            todo, at = todo[go], at[go] + 1 & (1 << self.bits) - 1
-        return out
-
-
-def train(trusted: DataFrame, max_grams: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The model's 4-grams and counts; at most ``max_grams`` kinds, the most frequent."""
-    counts = cut(count_grams(trusted))
-    if counts.count() > max_grams:
-        counts = counts.orderBy(F.desc("n"), "gram").limit(max_grams)
-    rows = counts.toArrow()
+def context(gram: Column) -> Column:
+    return F.shiftright(gram, 8)
+
+
+def interpolation(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``gram, share`` (its discounted part of its context) and ``context, mass`` (what is left for the lower order)."""
+    n = F.col("n")
+    t = counts.agg(*(F.coalesce(F.sum((n == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4))).first()
+    d1, d2, d3 = discounts(list(t))
+    d = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+    own = counts.select("gram", context(F.col("gram")).alias("context"), "n", d.alias("d"))
+    sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+    share = own.join(sums, "context").select("gram", ((n - F.col("d")) / F.col("total")).alias("share"))
+    return share, sums.select("context", (F.col("left") / F.col("total")).alias("mass"))
+
+
+def lower_order(counts: DataFrame, order: int) -> DataFrame:
+    """How many n-grams end in each shorter one."""
+    return counts.groupBy(suffix(F.col("gram"), order).alias("gram")).agg(F.count("*").alias("n"))
+
+
+def two_bytes(counts: DataFrame) -> np.ndarray:
+    """The probability of each byte after each byte, under the two lowest orders."""
+    rows = counts.toArrow()  # at most 65,536
     gram, n = (rows.column(k).to_numpy() for k in ("gram", "n"))
-    order = np.argsort(gram)
-    return gram[order], n[order]
 
+    def level(of, n, size):
+        t = [int(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)]
+        d = np.array([0, *discounts(t)])[np.minimum(n, 3)]
+        total, left = np.bincount(of, n, minlength=size), np.bincount(of, d, minlength=size)
+        return (n - d) / total[of], np.where(total > 0, left / np.maximum(total, 1), 1.0)
+
+    one, n1 = np.unique(gram & 255, return_counts=True)
+    p1 = np.full(256, 1 / 256)
+    if len(one):
+        share, mass = level(np.zeros(len(one), np.int64), n1, 1)
+        p1 *= mass[0]
+        p1[one] += share
+    p2 = np.tile(p1, 256)
+    if len(gram):
+        share, mass = level(gram >> 8, n, 256)
+        p2 *= np.repeat(mass, 256)
+        p2[gram] += share
+    return p2
 
-def perplexities(docs: DataFrame, gram: np.ndarray, n: np.ndarray, weight: int = 200, text_col: str = "text") -> DataFrame:
+
+class Model:
+    """Counts of the orders above two in shards, and a table of the two lowest."""
+
+    def __init__(self, trusted: DataFrame, text_col: str = "text"):
+        self.counts = {ORDER: cut(count_grams(trusted, text_col))}
+        for m in range(ORDER - 1, 1, -1):
+            self.counts[m] = lower_order(self.counts[m + 1], m)
+            if m > 2:
+                self.counts[m] = cut(self.counts[m])
+        self.low = two_bytes(self.counts[2])
+
+    def log10(self, asked: DataFrame) -> DataFrame:
+        """``gram, log10`` of each of the n-grams asked for."""
+        need = {ORDER: asked.select("gram").distinct()}
+        for m in range(ORDER - 1, 2, -1):
+            need[m] = need[m + 1].select(suffix(F.col("gram"), m).alias("gram")).distinct()
+        low = F.broadcast(asked.sparkSession.createDataFrame(list(enumerate(self.low.tolist())), "lower long, p_low double"))
+        for m in range(3, ORDER + 1):
+            share, mass = interpolation(self.counts[m])
+            rows = need[m].select("gram", context(F.col("gram")).alias("context"), suffix(F.col("gram"), m - 1).alias("lower"))
+            rows = rows.join(low, "lower").join(share, "gram", "left").join(mass, "context", "left")
+            p = F.coalesce("share", F.lit(0.0)) + F.coalesce("mass", F.lit(1.0)) * F.col("p_low")
+            low = cut(rows.select(F.col("gram").alias("lower"), p.alias("p_low")))
+        return low.select(F.col("lower").alias("gram"), F.log10("p_low").alias("log10"))
+
+
+def _sliced(batches, column: int, slice_bytes: int):
+    """Slices of the batches of a partition, with numbers that are the same whenever the partition is read."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        data, off = flat(batch.column(column))
+        for i, j in slices(off, slice_bytes):
+            yield number, batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
+            number += 1
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def perplexities(docs: DataFrame, model: Model, weight: int = 200, slice_bytes: int = SLICE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (without the text) with ``n_bytes, perplexity``."""
-    sent = docs.sparkSession.sparkContext.broadcast((gram, n))
     others = [c for c in docs.columns if c != text_col]
+    rows, place = docs.select(*others, text_col), len(others)
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["n_bytes long", "perplexity double"])
 
-    def run(batches):
-        model = Model(*sent.value)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            typical = float(np.average(model.log10(sent.value[0].astype(np.uint32)), weights=sent.value[1])) if len(gram) else -np.log10(256)
-        for batch in batches:
-            data, off = flat(batch.column(batch.num_columns - 1))
-            total = np.zeros(batch.num_rows)
-            for i, j in slices(off):
-                p = model.log10(grams(data[off[i] : off[j]], off[i : j + 1] - off[i])).astype(np.float64)
-                run_sum = np.concatenate([[0], np.cumsum(p)])
-                total[i:j] = run_sum[off[i + 1 : j + 1] - off[i]] - run_sum[off[i:j] - off[i]]
-            size = np.diff(off)
-            ppl = 10 ** (-(total + weight * typical) / (size + weight))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size), pa.array(ppl)], [*others, "n_bytes", "perplexity"])
-
-    return docs.select(*others, text_col).mapInArrow(run, schema)
+    def asks(batches):
+        for number, _, data, off in _sliced(batches, place, slice_bytes):
+            kinds = [np.unique(grams(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in slices(off)]
+            gram = np.unique(np.concatenate(kinds)) if kinds else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), number)), pa.array(gram)], ["slice", "gram"])
+
+    def texts(batches):
+        for number, batch, _, _ in _sliced(batches, place, slice_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(batch)], pa.binary())], ["slice", "packed"])
+
+    asked = written(rows.mapInArrow(asks, "slice long, gram long"))
+    known = cut(model.log10(asked))
+    top = model.counts[ORDER].join(known, "gram").agg(F.sum(F.col("n") * F.col("log10")).alias("s"), F.sum("n").alias("n")).first()
+    typical = top["s"] / top["n"] if top["n"] else -float(np.log10(256))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        gram, log10 = (right.column(c).to_numpy() for c in ("gram", "log10"))
+        order = np.argsort(gram)
+        gram, log10 = gram[order], log10[order]
+        out = []
+        for packed in left.column("packed").to_pylist():
+            for batch in pa.ipc.open_stream(packed):
+                data, off = flat(batch.column(place))
+                total = np.zeros(batch.num_rows)
+                for i, j in slices(off):
+                    own = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                    at = np.minimum(np.searchsorted(gram, own), max(0, len(gram) - 1))
+                    if len(own) and not (len(gram) and (gram[at] == own).all()):
+                        raise ValueError("a slice has other rows than when it asked: write the documents first")
+                    run_sum = np.concatenate([[0], np.cumsum(log10[at])]) if len(own) else np.zeros(1)
+                    total[i:j] = run_sum[off[i + 1 : j + 1] - off[i]] - run_sum[off[i:j] - off[i]]
+                size = np.diff(off)
+                ppl = 10 ** (-(total + weight * typical) / (size + weight))
+                out.append(pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(size), pa.array(ppl)], [*others, "n_bytes", "perplexity"]))
+        return pa.Table.from_batches(out)
+
+    answers = asked.join(known, "gram").select("slice", "gram", "log10")
+    return rows.mapInArrow(texts, "slice long, packed binary").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(meet, schema)
 
 
 def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
@@ -188,12 +228,13 @@ def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
     return packed.select("lang", "every", F.pow(F.lit(10.0), (first + 1) / GRID).alias("limit"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, weight: int = 200, max_grams: int = 8_000_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, weight: int = 200) -> DataFrame:
     """``doc_id, lang, n_bytes, perplexity, threshold, kept`` of every row."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    # a plan of the same kind at every size: the trusted rows are a share of all, too many to send everywhere
-    gram, n = train(docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi").select("text"), max_grams)
-    scored = cut(perplexities(docs.select("doc_id", "lang", "text"), gram, n, weight))
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id"), F.xxhash64("doc_id").alias("hash")).distinct()
+    # the map keeps most other texts out of the join's shuffle
+    marked = maybe_in(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")), good, "hash")
+    model = Model(marked.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi").select("text"))
+    scored = cut(perplexities(docs.select("doc_id", "lang", "text"), model, weight))
     limits = quantiles(scored.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"), quantile)
     own = limits.where("not every").select(F.col("lang").alias("l"), F.col("limit").alias("own"))
     every = limits.where("every").select(F.col("limit").alias("all_limit"))

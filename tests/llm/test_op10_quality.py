@@ -2,17 +2,17 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
+import pytest
 
-from pagemill.llm.op10_quality import Model, discounts, quality
+from pagemill.llm.op10_quality import ORDER, Model, discounts, perplexities, quality
 
 
-def brute_probability(text: bytes, counts: Counter):
-    """Interpolated modified Kneser-Ney by its definition, with byte 4-grams."""
-    orders = {4: counts}
-    for n in (3, 2, 1):
+def brute(text: bytes, counts: Counter):
+    """Interpolated modified Kneser-Ney by its definition: log10 of each byte's probability."""
+    orders = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):
         orders[n] = Counter(g[1:] for g in orders[n + 1])
-    d = {n: discounts(np.array(list(c.values()))) for n, c in orders.items()}
+    d = {n: [0, *discounts([list(c.values()).count(k) for k in (1, 2, 3, 4)])] for n, c in orders.items()}
     by = {n: defaultdict(list) for n in orders}
     for n, c in orders.items():
         for g, k in c.items():
@@ -29,32 +29,71 @@ def brute_probability(text: bytes, counts: Counter):
         left = sum(d[n][min(x, 3)] for x in group)
         return (k - d[n][min(k, 3)] + left * p(gram[1:])) / sum(group)
 
-    padded = b"\n\n\n" + text
-    return [math.log10(p(padded[i : i + 4])) for i in range(len(text))]
+    return [math.log10(p(g)) for g in each(text)]
 
 
-def pack(g: bytes) -> int:
-    return int.from_bytes(g, "big")
+def each(text: bytes):
+    padded = b"\n" * (ORDER - 1) + text
+    return [padded[i : i + ORDER] for i in range(len(text))]
 
 
-def test_probabilities_against_the_definition():
-    rng = random.Random(4)
-    text = bytes(rng.choice(b"abcab \n") for _ in range(400))
-    padded = b"\n\n\n" + text
-    counts = Counter(padded[i : i + 4] for i in range(len(text)))
-    model = Model(np.array(sorted(map(pack, counts))), np.array([counts[g] for g in sorted(counts)]))
-    other = bytes(rng.choice(b"abcz \n") for _ in range(200))
-    grams = np.array([pack((b"\n\n\n" + other)[i : i + 4]) for i in range(len(other))], np.uint32)
-    assert np.allclose(model.log10(grams), brute_probability(other, counts), atol=1e-4)
+def brute_quality(rows, good, quantile=0.99, slack=1.05, weight=200):
+    raw = [(d, lang, (t or "").encode()) for d, t, lang, *_ in rows]
+    counts = Counter(g for d, _, t in raw if d in good for g in each(t))
+    seen = [(d, lang, brute(t, counts)) for d, lang, t in raw]
+    total = sum(counts.values())
+    logs = {g: x for t in (t for d, _, t in raw if d in good) for g, x in zip(each(t), brute(t, counts))}
+    typical = sum(n * logs[g] for g, n in counts.items()) / total if total else -math.log10(256)
+    ppl = [(d, lang, 10 ** (-(sum(x) + weight * typical) / (len(x) + weight)), len(x)) for d, lang, x in seen]
 
+    def limit(values):
+        values = sorted(values)
+        if not values:
+            return math.inf
+        at = next(i for i in range(len(values)) if i + 1 >= quantile * len(values))
+        return slack * 10 ** ((math.floor(math.log10(values[at]) * 1000) + 1) / 1000)
 
-def test_shares_of_a_context_sum_to_one():
+    every = limit([p for d, _, p, _ in ppl if d in good])
+    out = []
+    for d, lang, p, n in ppl:
+        own = [q for e, other, q, _ in ppl if e in good and other == lang]
+        out.append((d, lang, n, p, limit(own) if own else every))
+    return out
+
+
+def pair_up(got, want):
+    key = lambda r: (str(r[0]), str(r[1]), r[2], r[3])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9) and g[4] == pytest.approx(w[4], rel=1e-9), (g, w)
+
+
+def test_the_whole_query_against_the_definition(spark, odd_docs, odd_rows):
+    """Perplexities and thresholds of all rows; trusted, other, null and repeated ones."""
+    good = {1, 4, 7, 31, 34, 40}
+    labels = spark.createDataFrame([(d, 1) for d in good] + [(10, 0), (13, None), (None, 1)], "doc_id long, quality int")
+    got = quality(odd_docs, labels).collect()
+    pair_up([(r["doc_id"], r["lang"], r["n_bytes"], r["perplexity"], r["threshold"]) for r in got], brute_quality(odd_rows, good))
+    assert all(r["kept"] == (r["perplexity"] <= r["threshold"]) for r in got)
+
+
+def test_shares_of_a_context_sum_to_one(spark):
     rng = random.Random(9)
-    text = bytes(rng.choice(b"xyz ") for _ in range(300))
-    counts = Counter((b"\n\n\n" + text)[i : i + 4] for i in range(len(text)))
-    model = Model(np.array(sorted(map(pack, counts))), np.array([counts[g] for g in sorted(counts)]))
-    for context in (b"xyz", b"\n\nx", b"QQQ", b"Qxy"):
-        assert abs((10.0 ** model.log10(np.array([pack(context + bytes([b])) for b in range(256)], np.uint32)).astype(float)).sum() - 1) < 1e-3
+    text = "".join(rng.choice("xyz ") for _ in range(300))
+    model = Model(spark.createDataFrame([(text,)], "text string"))
+    for context in (b"xyzx", b"\n\n\nx", b"QQQQ", b"QQxy"):
+        rows = model.log10(spark.createDataFrame([(int.from_bytes(context + bytes([b]), "big"),) for b in range(256)], "gram long")).collect()
+        assert len(rows) == 256 and abs(sum(10 ** r["log10"] for r in rows) - 1) < 1e-9
+
+
+def test_slices_and_a_long_text(spark):
+    """The same rows whatever the slices; one text is longer than a slice."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abc \n") for _ in range(n))) for i, n in enumerate([5, 0, 700, 90, 3000, 12])], "doc_id long, text string")
+    model = Model(docs)
+    one = sorted(map(tuple, perplexities(docs, model).collect()))
+    more = sorted(map(tuple, perplexities(docs, model, slice_bytes=100).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in more] and [r[2] for r in one] == pytest.approx([r[2] for r in more])
 
 
 def test_noise_goes_and_clean_text_stays(spark):
