@@ -38,7 +38,7 @@ from .bytes_np import flat, slices
 from .session import cut, written
 
 ORDER = 5
-SLICE = 16 << 20  # bytes of documents that ask together
+SLICE = 8 << 20  # bytes of documents that ask together
 MAX_LANGS = 10_000  # up to so many languages their thresholds are sent to every task
 GRID = 1000  # steps of log10 perplexity in the histograms that quantiles are read from
 

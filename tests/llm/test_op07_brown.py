@@ -4,26 +4,174 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagemill.llm.op07_brown import class_scores, exchange
+from pagemill.llm import op07_brown as op
+from pagemill.llm.bytes_np import flat
+from pagemill.llm.op07_brown import best_class, class_scores, exchange, likelihood
 
 
 def tokens(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) + [None]
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute(rows):
-    apart = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
-    c = Counter(w for d, t, *_ in rows if not apart(d) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    return sorted(((d, apart(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for d, t, *_ in rows for w in [tokens(t)]), key=str)
+def apart(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
 
 
-def test_base_scores_against_brute_force(odd_docs, odd_rows):
-    got = class_scores(odd_docs, head=20, classes=5).collect()
-    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == brute(odd_rows)
-    assert all(r["score"] < 0 for r in got)
+def brute_base(rows):
+    c = Counter(w for d, t, *_ in rows if not apart(d) for w in [*tokens(t), None])
+    n, v = sum(c.values()), len(c)
+    return sorted(((d, apart(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for d, t, *_ in rows for w in [[*tokens(t), None]]), key=str)
+
+
+def xlogx(x):
+    return x * math.log(x) if x > 1 else 0.0
+
+
+def brute_scores(rows, head, classes):
+    """The whole model with plain dictionaries; only the exchange of the head's symbols is shared (it has a test of its own)."""
+    number = {}  # the operator's hash decides ties and gives the shape
+
+    def word(w):
+        if w not in number:
+            number[w] = int(op.tokens(*flat(pa.array([w]))).hash.astype(np.int64)[0])
+        return number[w]
+
+    texts = [(d, [word(w) for w in tokens(t)]) for d, t, *_ in rows]
+    train = [w for d, w in texts if not apart(d)]
+    c = Counter(w for t in train for w in t)
+    top = sorted(c, key=lambda w: (-c[w], w))[:head]
+    place = {w: i for i, w in enumerate(top)}
+    symbol = lambda w: place.get(w, len(top) + (w & 31))
+    end = len(top) + op.SHAPES
+    pairs = np.zeros((end + 1, end + 1))
+    for t in train:
+        seq = [end, *map(symbol, t), end]
+        for a, b in zip(seq, seq[1:], strict=False):
+            pairs[a, b] += 1
+    of = exchange(pairs, classes)
+    k = int(of.max()) + 1
+
+    def table(own):
+        out = [[0] * k for _ in range(k)]
+        for t in train:
+            seq = [int(of[end]), *map(own, t), int(of[end])]
+            for a, b in zip(seq, seq[1:], strict=False):
+                out[a][b] += 1
+        return out
+
+    first = lambda w: int(of[symbol(w)])
+    old = table(first)
+    chosen = {}
+    for w in c:
+        if w in place or c[w] < 2:
+            continue
+        before, after, a = Counter(), Counter(), first(w)
+        for t in train:
+            seq = [int(of[end]), *map(first, t), int(of[end])]
+            for i, x in enumerate(t, 1):
+                if x == w:
+                    before[seq[i - 1]] += 1
+                    after[seq[i + 1]] += 1
+        gains = []
+        for b in range(k):
+            g = 0.0
+            for x, n in after.items():
+                now = old[b][x] - (n if b == a else 0)
+                g += xlogx(now + n) - xlogx(now)
+            for x, n in before.items():
+                now = old[x][b] - (n if b == a else 0)
+                g += xlogx(now + n) - xlogx(now)
+            for total in (sum(old[b]), sum(r[b] for r in old)):
+                total -= c[w] if b == a else 0
+                g -= xlogx(total + c[w]) - xlogx(total)
+            gains.append(g)
+        best = max(range(k), key=lambda b: (round(gains[b], 9), -b))
+        chosen[w] = best if gains[best] > gains[a] + 1e-9 else a
+    own = lambda w: chosen.get(w, first(w))
+    t = np.array(table(own), float)
+    rose = likelihood(t) >= likelihood(np.array(old, float))
+    if not rose:
+        own, t = first, np.array(old, float)
+    once = Counter(w & 31 for w in c if c[w] == 1)
+    unseen = max(1.0, sum(x * x for x in once.values()) / sum(once.values())) if once else 1.0
+    size = t.sum(0)
+    share = (size + 0.5) / (t.sum() + 0.5 * k)
+
+    def step(a, b, inside):
+        return math.log10((t[a, b] + 5 * share[b]) / (t[a].sum() + 5) * inside / max(size[b], 0.5))
+
+    def score(w):
+        out, at = 0.0, int(of[end])
+        for x in w:
+            s = once[x & 31]
+            inside = c[x] if c[x] > 1 else max(s, 0.5) / (s + unseen) * (1 if c[x] else unseen)
+            out += step(at, own(x), inside)
+            at = own(x)
+        return out + step(at, int(of[end]), len(train) + 0.1)
+
+    return sorted(((d, round(score(w), 6)) for d, w in texts), key=str), rose, len(chosen)
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 300])
+def test_scores_against_brute_force(odd_docs, odd_rows, slice_bytes):
+    got = class_scores(odd_docs, head=12, classes=5, slice_bytes=slice_bytes).collect()
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == brute_base(odd_rows)
+    want, _, moved = brute_scores(odd_rows, 12, 5)
+    assert moved > 10
+    have = sorted(((r["doc_id"], r["score"]) for r in got), key=str)
+    assert [d for d, _ in sorted(want, key=str)] == [d for d, _ in have]
+    key = lambda r: (str(r[0]), r[1])
+    for g, w in zip(sorted(have, key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-5)
+
+
+def test_words_beyond_the_head_get_classes_of_their_own(spark):
+    """Words of one shape that stand in two kinds of places: their classes raise the likelihood and the held-out score."""
+    rng = np.random.default_rng(1)
+    left, right = ([f"{a}{i:03d}q" for i in range(150)] for a in "xy")
+    rows = [(i, " ".join(w for _ in range(20) for w in ("the", str(rng.choice(left)), "of", str(rng.choice(right))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = class_scores(docs, head=20, classes=8).where("held_out").collect()
+    want, rose, _ = brute_scores(rows[:60], 20, 8)
+    assert rose
+    per_token = sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got)
+    # of four tokens two are sure and two are one of 150
+    assert per_token > 0.5 * math.log10(1 / 150) - 0.1
+
+
+def test_probabilities_of_the_words_of_a_class_sum_to_one():
+    rng = np.random.default_rng(5)
+    table = rng.poisson(3, (6, 6)).astype(float)
+    move = op.transitions(table)
+    assert np.allclose((10**move * np.maximum(table.sum(0), 0.5)).sum(1), 1)
+
+
+def test_judged_classes_are_those_of_the_definition():
+    rng = np.random.default_rng(2)
+    before, after = rng.poisson(0.7, (40, 5)).astype(float), None
+    after = np.array([rng.multinomial(int(r.sum()), np.ones(5) / 5) for r in before]).astype(float)
+    own = rng.integers(0, 5, 40)
+    table = rng.poisson(40, (5, 5)).astype(float) + 60
+    got = best_class(table, own, before, after)
+    for w in range(40):
+        t = table.copy()
+        gains = []
+        for b in range(5):
+            g = 0.0
+            for c in range(5):
+                x = t[b, c] - (after[w, c] if b == own[w] else 0)
+                g += xlogx(x + after[w, c]) - xlogx(x)
+                x = t[c, b] - (before[w, c] if b == own[w] else 0)
+                g += xlogx(x + before[w, c]) - xlogx(x)
+            n = before[w].sum()
+            for x in (t[b].sum(), t[:, b].sum()):
+                x -= n if b == own[w] else 0
+                g -= xlogx(x + n) - xlogx(x)
+            gains.append(g)
+        assert gains[got[w]] >= max(gains) - 1e-6
 
 
 def test_model_is_better_than_the_base_on_held_out_text(spark):
