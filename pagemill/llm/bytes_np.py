@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Any odd constants serve here; they only mix bits.
 MIX1, MIX2, STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, PART_BYTES = 4 << 20, 1 << 20
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +115,8 @@ class Words:
         if hashed:
             value = np.where(inside, BYTE_VALUE[LOWER] if lower else BYTE_VALUE, U64(0))
             parts, i = [], 0
-            while i < len(self.start):  # some megabytes at a time: eight bytes are held for each byte
-                j = max(i + 1, int(np.searchsorted(self.stop, self.start[i] + SLICE_BYTES, side="right")))
+            while i < len(self.start):  # a megabyte at a time: many bytes are held for each byte
+                j = max(i + 1, int(np.searchsorted(self.stop, self.start[i] + PART_BYTES, side="right")))
                 a, b = int(self.start[i]), int(self.stop[j - 1])
                 parts.append(spans_hash(value[data[a:b]], self.start[i:j] - a, self.stop[i:j] - a))
                 i = j

@@ -4,7 +4,7 @@ Words (lower-cased, between white space) are counted over all training documents
 crc32(doc_id as text) modulo ``folds`` is not 0. Exchange clustering gives each word that is
 seen twice or more a class, so that the class bigrams' likelihood rises:
 
-1. On the driver, the ``head`` most frequent words are moved one by one between ``classes`` classes, with
+1. On the driver, the ``head`` most frequent of these are moved one by one between ``classes`` classes, with
    each other word as one of a few shapes (its length, its last character, whether it is ASCII).
 2. In the tasks, every other word of the vocabulary is moved. Its contexts (how often each class
    stands before and after it, over the whole corpus) are grouped sums; a task that has them
@@ -44,6 +44,8 @@ from .session import cut, written
 
 SHAPES = 24
 LETTER = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+#: What a word's last byte gives to its shape: a letter or digit, a full stop, a comma, anything else.
+TAIL = np.where(LETTER, 0, np.where(np.arange(256) == 46, 2, np.where(np.arange(256) == 44, 4, 6))).astype(np.uint8)
 SLICE = 8 << 20
 MISSING = -(1 << 63)  # stands for a null doc_id inside
 
@@ -53,12 +55,13 @@ def tokens(data: np.ndarray, off: np.ndarray) -> Words:
     words = Words(data, off, INK)
     if len(words.start):
         size = words.stop - words.start
-        wide = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
-        last = data[words.stop - 1]
-        tail = np.where(LETTER[last], 0, np.where(last == 46, 1, np.where(last == 44, 2, 3)))
-        foreign = wide[words.stop] > wide[words.start]
-        shape = (np.digitize(size, (5, 9)) * 4 + tail) * 2 + foreign
-        words.hash = words.hash & ~U64(31) | shape.astype(U64)
+        wide = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data >= 128, dtype=np.int32, out=wide[1:])
+        shape = TAIL[data[words.stop - 1]]
+        shape += np.uint8(8) * (size >= 5) + np.uint8(8) * (size >= 9)
+        shape += wide[words.stop] > wide[words.start]
+        words.hash &= ~U64(31)
+        words.hash |= shape
     return words
 
 
@@ -345,12 +348,20 @@ def tag(encoded: DataFrame, lexicon: DataFrame, symbols: Symbols, of: np.ndarray
             tail = np.flatnonzero(symbols.of(s.words) >= symbols.n_head)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tail), number)), pa.array(tail.astype(np.int32)), pa.array(s.words[tail].view(np.int64))], ["slice", "place", "word"])
 
+    def lean(batches):
+        """The slices with symbols, which take less room, in place of words."""
+        symbols = sent.value[0]
+        for batch in batches:
+            for number, _, texts, words, _, places in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                symbol = squeeze(symbols.of(unsqueeze_codes(words)))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, texts, symbol, places), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["slice", "texts", "symbols", "places"])
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         symbols, of, head_counts = sent.value
         rows = []
-        for texts, words, counts, places in zip(*(left.column(c).to_pylist() for c in ("texts", "words", "counts", "places")), strict=True):
-            s = Slice(texts, words, counts, places)
-            symbol = symbols.of(s.words)
+        for texts, symbol, places in zip(*(left.column(c).to_pylist() for c in ("texts", "symbols", "places")), strict=True):
+            size = np.frombuffer(unpack_bytes(texts), "<i8").reshape(3, -1)[1]
+            symbol, places = unsqueeze(symbol).astype(np.int64), unsqueeze(places)
             n, own = np.zeros(len(symbol)), of[symbol]
             head = np.flatnonzero(symbol < symbols.n_head)
             n[head] = head_counts[symbol[head]]
@@ -358,15 +369,15 @@ def tag(encoded: DataFrame, lexicon: DataFrame, symbols: Symbols, of: np.ndarray
             n[place] = right.column("n").to_numpy()
             known = right.column("class").fill_null(-1).to_numpy()
             own[place] = np.where(known >= 0, known, own[place])
-            rare = share[shape_of(s.words)]
+            rare = share[np.maximum(symbol - symbols.n_head, 0)]  # head words are seen more than once
             emit = np.where(n > 1, np.log10(np.maximum(n, 1)), np.where(n == 1, rare, rare + np.log10(unseen)))
-            text = np.repeat(np.arange(len(s.n)), s.n)
-            sums = [np.bincount(text, x[s.places], minlength=len(s.n)) if len(text) else np.zeros(len(s.n)) for x in (n > 0, np.log10(n + 0.1), emit)]
-            rows.append((texts, np.stack(sums).astype("<f8").tobytes(), pack_bytes(own[s.places].astype(np.uint8).tobytes() if len(text) else b"")))
+            text = np.repeat(np.arange(len(size)), size)
+            sums = [np.bincount(text, x[places], minlength=len(size)) if len(text) else np.zeros(len(size)) for x in (n > 0, np.log10(n + 0.1), emit)]
+            rows.append((texts, np.stack(sums).astype("<f8").tobytes(), pack_bytes(own.astype(np.uint8)[places].tobytes() if len(text) else b"")))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], ["texts", "sums", "classes"])
 
     answers = encoded.mapInArrow(asks, "slice long, place int, word long").join(lexicon, "word").select("slice", "place", "n", "class")
-    payload = encoded.select("slice", "texts", "words", "counts", "places")
+    payload = encoded.mapInArrow(lean, "slice long, texts binary, symbols binary, places binary")
     return payload.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(meet, TAGGED)
 
 
@@ -420,7 +431,7 @@ def class_scores(docs: DataFrame, head: int = 1000, classes: int = 48, folds: in
     total, kinds = n.sum() + trained, v.sum() + (trained > 0)
     unseen = max(1.0, float(np.average(once, weights=once)) if once.sum() else 1.0)
 
-    top = words.orderBy(F.desc("n"), "word").limit(head).collect()
+    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head).collect()
     symbols = Symbols(np.array([r["word"] for r in top], np.int64).view(U64))
     head_counts = np.array([r["n"] for r in top], np.float64)
     pairs = pair_counts(encoded, symbols)

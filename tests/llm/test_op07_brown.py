@@ -42,7 +42,7 @@ def brute_scores(rows, head, classes):
     texts = [(d, [word(w) for w in tokens(t)]) for d, t, *_ in rows]
     train = [w for d, w in texts if not apart(d)]
     c = Counter(w for t in train for w in t)
-    top = sorted(c, key=lambda w: (-c[w], w))[:head]
+    top = sorted((w for w in c if c[w] > 1), key=lambda w: (-c[w], w))[:head]
     place = {w: i for i, w in enumerate(top)}
     symbol = lambda w: place.get(w, len(top) + (w & 31))
     end = len(top) + op.SHAPES
