@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over bytes, with n-grams of ``ORDER`` = 5. It is trained on trusted text: documents
+The model is over bytes, with n-grams of ``ORDER`` = 4. It is trained on trusted text: documents
 that ``labels.quality`` marks 1. Tasks count the n-grams of what they read; a grouped sum
 joins the counts, which stay in shards of the n-gram. Lower orders count continuations. Discounts for
 counts of one, two and three or more come from the counts of counts of each order. Only the
@@ -37,8 +37,8 @@ from .bitmap import maybe_in
 from .bytes_np import flat, slices
 from .session import cut, written
 
-ORDER = 5
-SLICE = 8 << 20  # bytes of documents that ask together
+ORDER = 4
+SLICE = 4 << 20  # bytes of documents that ask together
 MAX_LANGS = 10_000  # up to so many languages their thresholds are sent to every task
 GRID = 1000  # steps of log10 perplexity in the histograms that quantiles are read from
 
