@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1C-\x1F]"
 LINE_END = "[\n\x0b\x0c\x1c\x1d\x1e\x85  ]"
 WORD = r"[\p{L}\p{N}_]+"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -69,6 +70,18 @@ def is_batch_id(text: Column) -> Column:
     return text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 
 
+def is_safe_scalar(text: Column) -> Column:
+    """Whether a value stays one plain line of a Markdown file: no outer white space, line ends, placeholders or comments."""
+    marks = [text.contains(m) for m in ("{{", "}}", "<!--", "-->")]
+    one_line = ~text.rlike(LINE_END) & ~text.contains("\r") & (text != "")
+    return F.coalesce(one_line & (strip(text) == text) & ~(marks[0] | marks[1] | marks[2] | marks[3]), F.lit(False))
+
+
+def iso_time(ts: Column) -> Column:
+    """A time in UTC to the second, as 2024-01-31T09:05:00Z."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def page_file_name(page: Column, ending: str) -> Column:
     """page-001.png, with more digits where needed."""
     return F.format_string(f"page-%03d.{ending}", page)

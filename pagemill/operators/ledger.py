@@ -60,9 +60,9 @@ def identity_mismatches(seen: DataFrame, expected: DataFrame, key: str, fields:
     return both.select(key, F.array_join(differ, ",").alias("fields")).where("fields <> ''")
 
 
-def snapshot_consistency(digests: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """For each key the number of different digests (nulls aside), the first one, and whether they agree."""
-    out = digests.groupBy(*keys).agg(F.count_distinct(digest).alias("digests"), F.min(digest).alias("adopted"))
+def snapshot_consistency(digests: DataFrame, keys: list[str], digest: str, order: str) -> DataFrame:
+    """For each key the number of different digests (nulls aside), the first one by ``order``, and whether they agree."""
+    out = digests.groupBy(*keys).agg(F.count_distinct(digest).alias("digests"), F.min_by(digest, F.when(F.col(digest).isNotNull(), F.col(order))).alias("adopted"))
     return out.withColumn("consistent", F.col("digests") <= 1)
 
 
@@ -138,21 +138,37 @@ def shard_violations(shards: DataFrame, page_count: int) -> DataFrame:
 
 
 def match_ledger(new: DataFrame, ledger: DataFrame) -> DataFrame:
-    """New batches with ``action``: add, skip (the ledger has the same content) or conflict (it has another)."""
-    old = ledger.select("batch_id", F.col("shard_sha256").alias("__old"), F.lit(True).alias("__there"))
+    """New batches with ``action``: add, skip (the ledger has the same content) or conflict (it has another).
+
+    The content is the shard's digest and, where both tables have them, the list of ``artifacts``.
+    """
+    fields = ["shard_sha256", *(["artifacts"] if "artifacts" in new.columns and "artifacts" in ledger.columns else [])]
+    old = ledger.select("batch_id", F.struct(*fields).alias("__old"), F.lit(True).alias("__there"))
     both = new.join(old, "batch_id", "left")
-    return both.withColumn("action", F.when(F.col("__there").isNull(), "add").when(F.col("shard_sha256").eqNullSafe(F.col("__old")), "skip").otherwise("conflict")).drop("__old", "__there")
+    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"__old.{f}")) for f in fields])
+    return both.withColumn("action", F.when(F.col("__there").isNull(), "add").when(same, "skip").otherwise("conflict")).drop("__old", "__there")
 
 
 def merge_violations(new: DataFrame, ledger: DataFrame) -> DataFrame:
-    """What forbids a merge of ``new`` (batch_id, shard_sha256, owned_pages) into ``ledger``."""
+    """What forbids a merge of ``new`` (batch_id, shard_sha256, owned_pages) into ``ledger``.
+
+    Where both tables have them, all batches must also agree in the source's identity (``source_sha256``, null is a
+    value) and in each snapshot (``style_profile_sha256, document_ir_sha256``, nulls aside).
+    """
     matched = match_ledger(new, ledger)
     conflict = matched.where("action = 'conflict'").select(F.lit("batch").alias("entity"), F.col("batch_id").cast("string").alias("entity_key"), F.lit("content-conflict").alias("rule_id"), F.lit("").alias("detail"))
     repeated = duplicate_keys(new, ["batch_id"]).select(F.lit("batch").alias("entity"), F.col("batch_id").cast("string").alias("entity_key"), F.lit("repeated-batch").alias("rule_id"), F.col("n").cast("string").alias("detail"))
     own = matched.where("action = 'add'").select("batch_id", F.explode("owned_pages").alias("page"))
     owned = ledger.select("batch_id", F.explode("owned_pages").alias("page")).unionByName(own)
     twice = ownership_conflicts(owned).select(F.lit("page").alias("entity"), F.col("page").cast("string").alias("entity_key"), F.lit("owned-twice").alias("rule_id"), F.concat_ws(",", F.col("first_batch").cast("string"), F.col("last_batch").cast("string")).alias("detail"))
-    return conflict.unionByName(repeated).unionByName(twice)
+    parts = [conflict, repeated, twice]
+    every = [f for f in ("source_sha256", "style_profile_sha256", "document_ir_sha256") if f in new.columns and f in ledger.columns]
+    for field in every:
+        rows = ledger.select(field).unionByName(new.select(field))
+        value = F.coalesce(field, F.lit("none")) if field == "source_sha256" else F.col(field)
+        unlike = rows.agg(F.count_distinct(value).alias("n"), F.min(value).alias("first"), F.max(value).alias("last")).where("n > 1")
+        parts.append(unlike.select(F.lit("ledger").alias("entity"), F.lit(field).alias("entity_key"), F.lit("identity-conflict" if field == "source_sha256" else "snapshot-conflict").alias("rule_id"), F.concat_ws(",", "first", "last").alias("detail")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ledger_additions(new: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -211,9 +227,9 @@ def missing_artifacts(shards: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def same_artifacts(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Whether batches list the same artifacts with the same digests in the same order."""
+    """Whether batches list the same artifacts with the same digests in the same order; one without any on a side differs."""
     lists = [x.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("position", "path", "sha256"))).alias(n)) for x, n in ((new, "a"), (old, "b"))]
-    return lists[0].join(lists[1], "batch_id").select("batch_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    return lists[0].join(lists[1], "batch_id", "full_outer").select("batch_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
 def output_conflicts(selected: DataFrame, present: DataFrame, on: list[str], force: bool = False) -> DataFrame:

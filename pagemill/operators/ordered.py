@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 CHUNK = 1 << 16
 
 
@@ -57,3 +59,16 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     df = df.withColumn("__v", value).withColumn("__s", F.sum("__v").over(inside))
     df = _carry(df, keys, [F.sum("__v").alias("__all")], [("__before", F.sum("__all"))])
     return df.withColumn(name, (F.col("__s") + F.coalesce("__before", F.lit(0))).cast("int")).drop("__v", "__s", "__before")
+
+
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their numbers from 1 in a total order: ranges of the order are sorted apart, and each begins after the rows before it.
+
+    The sorted ranges are written before they are counted, as a range's borders come from a sample.
+    """
+    rows = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).alias("__part")
+    per = rows.groupBy(part).agg(F.count("*").alias("__n"))  # a row for each range
+    before = per.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    both = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return both.withColumn(name, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1).drop("__id", "__part", "__before")

@@ -72,10 +72,10 @@ def q_unexpected(spark: SparkSession, d: str) -> DataFrame:
     return ledger.unexpected_records(_owned(spark, d), tables.shard_pages(spark, d), ["batch_id", "page"])
 
 
-@query("manifest_reconcile", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("manifest_reconcile", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT doc_id + CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE 0 END AS doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def q_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    """A listing of two thirds of the documents against the labelled ones."""
-    docs = tables.table(spark, d, "documents").where("doc_id % 3 <> 0")
+    """A listing of all documents, a third of them under another number, against the labelled ones."""
+    docs = tables.table(spark, d, "documents").select((F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 1000000000).otherwise(0)).alias("doc_id"))
     return ledger.reconcile(docs, tables.table(spark, d, "labels"), ["doc_id"])
 
 
@@ -92,22 +92,22 @@ def q_identity(spark: SparkSession, d: str) -> DataFrame:
     return ledger.identity_mismatches(seen, expected, "doc_id", ["sha256", "size_bytes", "page_count"])
 
 
-@query("snapshot_consistency", "SELECT source, count(DISTINCT CASE WHEN lang <> 'en' THEN sha256(lang) END) AS digests, min(CASE WHEN lang <> 'en' THEN sha256(lang) END) AS adopted, count(DISTINCT CASE WHEN lang <> 'en' THEN sha256(lang) END) <= 1 AS consistent FROM documents GROUP BY source")
+@query("snapshot_consistency", "SELECT source, count(DISTINCT CASE WHEN lang <> 'en' THEN sha256(lang) END) AS digests, arg_min(CASE WHEN lang <> 'en' THEN sha256(lang) END, doc_id) FILTER (lang <> 'en') AS adopted, count(DISTINCT CASE WHEN lang <> 'en' THEN sha256(lang) END) <= 1 AS consistent FROM documents GROUP BY source")
 def q_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents").select("source", F.when(F.col("lang") != "en", F.sha2("lang", 256)).alias("digest"))
-    return ledger.snapshot_consistency(docs, ["source"], "digest")
+    docs = tables.table(spark, d, "documents").select("source", "doc_id", F.when(F.col("lang") != "en", F.sha2("lang", 256)).alias("digest"))
+    return ledger.snapshot_consistency(docs, ["source"], "digest", "doc_id")
 
 
 @query("upsert_pages", """
     SELECT doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.size ELSE o.size END AS size, CASE WHEN n.doc_id IS NOT NULL THEN coalesce(n.pdf, o.pdf) ELSE o.pdf END AS pdf
     FROM (SELECT doc_id, n_chars AS size, source AS pdf FROM documents) o
-    FULL JOIN (SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 1000000 ELSE 0 END AS doc_id, quality::BIGINT AS size, CASE WHEN toxic = 1 THEN 'new' END AS pdf FROM labels WHERE doc_id % 2 = 0) n USING (doc_id)
+    FULL JOIN (SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 1000000 ELSE 0 END AS doc_id, quality::BIGINT AS size, CASE WHEN toxic = 1 THEN 'new' END AS pdf FROM labels) n USING (doc_id)
 """)
 def q_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Labels replace documents' records; a source without a new value keeps the old one."""
     old = tables.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"), F.col("source").alias("pdf"))
     new_id = F.col("doc_id") + F.when(F.col("doc_id") % 50 == 0, 1000000).otherwise(0)
-    new = tables.table(spark, d, "labels").where("doc_id % 2 = 0").select(new_id.alias("doc_id"), F.col("quality").cast("long").alias("size"), F.when(F.col("toxic") == 1, "new").alias("pdf"))
+    new = tables.table(spark, d, "labels").select(new_id.alias("doc_id"), F.col("quality").cast("long").alias("size"), F.when(F.col("toxic") == 1, "new").alias("pdf"))
     return ledger.upsert(old, new, ["doc_id"], inherit=["pdf"])
 
 
@@ -116,9 +116,11 @@ def q_last(spark: SparkSession, d: str) -> DataFrame:
     return ledger.last_write(tables.table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query("uniform_or_mixed", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'mixed' END AS event_type FROM events WHERE event_id % 40 = 0 GROUP BY user_id")
+@query("uniform_or_mixed", "SELECT user_id, date_trunc('day', ts) AS day, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'mixed' END AS event_type FROM events GROUP BY ALL")
 def q_uniform(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.uniform_or(tables.table(spark, d, "events").where("event_id % 40 = 0"), ["user_id"], "event_type", F.lit("mixed"))
+    """The kind of event that a user's day has, if it has one kind."""
+    days = tables.table(spark, d, "events").select("user_id", F.date_trunc("day", "ts").alias("day"), "event_type")
+    return ledger.uniform_or(days, ["user_id", "day"], "event_type", F.lit("mixed"))
 
 
 USAGE_SQL = """(SELECT user_id AS batch_id, 1 + event_id % 3 AS page_count, event_type <> 'view' AS used, CASE WHEN event_type <> 'view' THEN (props->>'k')::BIGINT END AS k,

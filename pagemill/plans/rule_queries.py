@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import findings, markdown, rules
+from ..operators import findings, markdown, ordered, rules
 from ..sources import tables
 from ..streaming import ingest
 from .page_queries import query
@@ -172,13 +172,10 @@ def q_finding_counts(spark: SparkSession, d: str) -> DataFrame:
     return findings.finding_counts(_findings(spark, d), ["category"])
 
 
-@query("findings_sorted", f"SELECT row_number() OVER (ORDER BY severity <> 'ERROR', category, message, source) AS place, severity, category, source FROM {FINDINGS_SQL} QUALIFY place <= 1000")
+@query("findings_sorted", f"SELECT row_number() OVER (ORDER BY severity <> 'ERROR', category, message, source) AS place, severity, category, source FROM {FINDINGS_SQL}")
 def q_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """The first thousand findings in order; the limit is the feature."""
-    from pyspark.sql import Window
-
-    top = _findings(spark, d).orderBy(*findings.finding_order()).limit(1000)
-    return top.select(F.row_number().over(Window.orderBy(*findings.finding_order())).cast("long").alias("place"), "severity", "category", "source")
+    """All findings with their places in order."""
+    return ordered.places(_findings(spark, d), findings.finding_order()).select("place", "severity", "category", "source")
 
 
 @query("artifact_scan", rf"SELECT doc_id, line_no::INT AS line_no FROM {LINES_SQL} WHERE regexp_matches(line, '(?i)todo[\s_-]*math|###|\bunresolved[\s_-]+glyph')")
@@ -224,8 +221,11 @@ def q_stages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("markdown_records")
 def q_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as state files: each turn a record, with a fence or comment around some."""
-    turn = F.concat(F.lit("### Turn: "), "turn", F.lit("\nStatus: "), F.when(F.col("role") == "user", "reviewed").otherwise("blocked"), F.lit("\nReason: "), F.substring(F.regexp_replace("text", "[`\\n<]", " "), 1, 40))
+    """Conversations as state files: each turn's whole text in a record, with a fence or comment around some.
+
+    SQL has no such parser; the tests hold it against one that goes line by line.
+    """
+    turn = F.concat(F.lit("### Turn: "), "turn", F.lit("\nStatus: "), F.when(F.col("role") == "user", "reviewed").otherwise("blocked"), F.lit("\nReason: "), F.coalesce("text", F.lit("")))
     wrapped = F.when(F.col("turn") % 5 == 3, F.concat(F.lit("```\n"), turn, F.lit("\n````"))).when(F.col("turn") % 5 == 4, F.concat(F.lit("<!-- "), turn, F.lit("\n-->"))).otherwise(turn)
     files = tables.table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", wrapped.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     return markdown.records(markdown.markdown_lines(files))

@@ -15,10 +15,10 @@ def test_log_lines_are_classified_by_the_first_pattern(spark, tmp_path):
 
 
 def test_artifacts_commands_and_references(spark):
-    lines = spark.createDataFrame([(1, r"\input{a} % \input{b}"), (2, r"\immediate\write18{rm}"), (3, "TODO math here"), (4, r"\includegraphics[width=1]{fig, x}\input{\jobname}"), (5, r"% \write18{no}"), (6, r"\addbibresource{r.bib}")], "line_no int, line string")
+    lines = spark.createDataFrame([(1, r"\input{a} % \input{b}"), (2, r"\immediate\write18{rm}"), (3, "TODO math here"), (4, r"\includegraphics[width=1]{fig, x}\input{\jobname}"), (5, r"% \write18{no}"), (6, r"\addbibresource{r.bib}"), (7, r"\bibliography{m, n}")], "line_no int, line string")
     assert [r["line_no"] for r in findings.artifact_lines(lines).collect()] == [3]
-    assert sorted((r["line_no"], r["shell_escape"], r["complex_build"]) for r in findings.source_checks(lines).collect()) == [(2, True, False), (6, False, True)]
-    assert sorted((r["command"], r["value"]) for r in findings.references(lines).collect()) == [("addbibresource", "r.bib"), ("includegraphics", "fig"), ("includegraphics", "x"), ("input", "a")]
+    assert sorted((r["line_no"], r["shell_escape"], r["complex_build"]) for r in findings.source_checks(lines).collect()) == [(2, True, False), (6, False, True), (7, False, True)]
+    assert sorted((r["command"], r["value"]) for r in findings.references(lines).collect()) == [("addbibresource", "r.bib"), ("bibliography", "m"), ("bibliography", "n"), ("includegraphics", "fig, x"), ("input", "a")]
 
 
 def test_dependencies(spark):
@@ -141,3 +141,53 @@ def test_source_files_and_identity(spark, tmp_path):
 def test_contract_rules(spark):
     paths, gates = files.read_rules(spark, '{"path_rules": [{"id": "a", "when": {"traits_any": ["book"]}, "require_files": ["x"]}], "gate_rules": []}')
     assert paths.first()["required"] == ["x"] and gates.count() == 0
+
+
+def by_lines(text):
+    """The lines that count, one line after another."""
+    import re
+
+    out, fence, comment, ticks = [], None, False, 0
+    for no, line in enumerate(text.splitlines(), 1):
+        if fence:
+            if re.fullmatch(rf" {{0,3}}{fence[0]}{{{len(fence)},}}[ \t]*", line):
+                fence = None
+            continue
+        if not comment and not ticks:
+            if re.match(" {0,3}\\t| {4}", line):
+                continue
+            if start := re.match(" {0,3}(```+|~~~+)", line):
+                fence = start[1]
+                continue
+        shown = ""
+        while line:
+            if comment:
+                comment = "-->" not in line
+                line = "" if comment else line.split("-->", 1)[1]
+            elif run := re.match("`+", line):
+                ticks = 0 if ticks == len(run[0]) else ticks or len(run[0])
+                shown, line = shown + " " * len(run[0]), line[len(run[0]) :]
+            elif not ticks and line.startswith("<!--"):
+                comment, line = True, line[4:]
+            else:
+                shown, line = shown + (" " if ticks else line[0]), line[1:]
+        if not re.match(" {0,3}\\t| {4}", shown):
+            out.append((no, shown))
+    return out + [(0, "")] * bool(ticks)
+
+
+def test_markdown_scanner_against_line_by_line():
+    import random
+
+    rng = random.Random(3)
+    signs = ["`", "``", "```", "````", "<!--", "-->", " ", "    ", "\t", "\n", "\n", "\n", "a", "### x", "Status: b", "-", "é", "\r\n"]
+    for _ in range(20000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 16)))
+        assert list(markdown.active_lines(text)) == by_lines(text), text
+    for _ in range(5000):  # tildes, without comments before them
+        text = "".join(rng.choice(["~~~", "~~~~", "~", "`", "\n", "\n", " ", "a", "    "]) for _ in range(rng.randint(0, 12)))
+        assert list(markdown.active_lines(text)) == by_lines(text), text
+
+
+def test_markdown_fence_behind_a_comment():
+    assert list(markdown.active_lines("<!-- x --> ~~~ `a\n### no\n~~~\n### yes")) == [(4, "### yes")]

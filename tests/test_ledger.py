@@ -120,8 +120,8 @@ def test_reconcile_identity_snapshots_and_paths(spark):
     assert sorted(tuple(r) for r in ledger.reconcile(a, b, ["page"]).collect()) == [(1, "missing"), (3, "extra")]
     moved = ledger.rebind_paths(spark.createDataFrame([(HEX, "old"), ("b", "kept")], "sha256 string, path string"), spark.createDataFrame([(HEX, "new")], "sha256 string, path string"), ["sha256"])
     assert sorted(r["path"] for r in moved.collect()) == ["kept", "new"]
-    snap = ledger.snapshot_consistency(spark.createDataFrame([("x", None), ("x", "1"), ("y", "1"), ("y", "2")], "k string, d string"), ["k"], "d")
-    assert sorted((r["k"], r["adopted"], r["consistent"]) for r in snap.collect()) == [("x", "1", True), ("y", "1", False)]
+    snap = ledger.snapshot_consistency(spark.createDataFrame([("x", None, 0), ("x", "1", 1), ("y", "1", 2), ("y", "2", 1)], "k string, d string, no int"), ["k"], "d", "no")
+    assert sorted((r["k"], r["adopted"], r["consistent"]) for r in snap.collect()) == [("x", "1", True), ("y", "2", False)]
 
 
 def test_sinks(spark, tmp_path):
