@@ -161,6 +161,9 @@ def by_lines(text):
                 continue
         shown = ""
         while line:
+            if not (ticks or comment) and (re.fullmatch(" {0,3}~~~+", shown) and line[0] != "~" or re.fullmatch(" {0,3}~~~+", shown + line)):
+                fence = (shown + line if shown[-1:] != "~" or line[0] == "~" else shown).strip(" ")
+                break
             if comment:
                 comment = "-->" not in line
                 line = "" if comment else line.split("-->", 1)[1]
@@ -171,7 +174,7 @@ def by_lines(text):
                 comment, line = True, line[4:]
             else:
                 shown, line = shown + (" " if ticks else line[0]), line[1:]
-        if not re.match(" {0,3}\\t| {4}", shown):
+        if not fence and not re.match(" {0,3}\\t| {4}", shown):
             out.append((no, shown))
     return out + [(0, "")] * bool(ticks)
 
