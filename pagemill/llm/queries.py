@@ -125,21 +125,21 @@ ORACLES: dict[str, str] = {
                  lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
         lines AS (
           SELECT doc_id, line_no, tokens, len(tokens) AS n, array_to_string(tokens, ' ') AS line,
-                 len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM tok WHERE len(tokens) >= 4),
+                 len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM tok WHERE len(tokens) > 0),
         kinds AS (SELECT leaf, line, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY leaf, line),
-        shared AS (
-          SELECT leaf FROM (SELECT leaf, count(DISTINCT doc_id) AS d, count(DISTINCT line) AS k FROM lines GROUP BY leaf) WHERE d >= 10 AND k > 1),
-        places AS (
-          SELECT leaf, line, n, n_docs, unnest(range(4, n + 1)) AS place, unnest(tokens[4:]) AS token FROM kinds JOIN shared USING (leaf)),
-        most AS (
-          SELECT leaf, place, token AS common FROM (
-            SELECT leaf, place, token, row_number() OVER (PARTITION BY leaf, place ORDER BY sum(n_docs) DESC, token DESC) AS r FROM places GROUP BY leaf, place, token) WHERE r = 1),
-        members AS (
-          SELECT leaf, line FROM places JOIN most USING (leaf, place) GROUP BY leaf, line, n
-          HAVING count(*) FILTER (WHERE token = common) + 3 >= 0.8 * n),
-        wide AS (
-          SELECT line FROM members WHERE leaf IN (SELECT leaf FROM lines JOIN members USING (leaf, line) GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10)),
-        gone AS (SELECT line FROM kinds WHERE n_docs >= 10 UNION SELECT line FROM wide),
+        inside AS (SELECT *, n // 5 AS d, greatest(n - 3, 0) AS r FROM kinds WHERE n >= 5 AND leaf IN (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1)),
+        branches AS (
+          SELECT leaf AS branch, line, n_docs FROM inside
+          UNION ALL SELECT leaf || chr(1) || s || chr(1) || array_to_string(tokens[4:][(s * r + d) // (d + 1) + 1 : ((s + 1) * r + d) // (d + 1)], ' '), line, n_docs
+          FROM (SELECT *, unnest(range(0, d + 1)) AS s FROM inside)),
+        forms AS (SELECT branch, line AS form FROM branches QUALIFY row_number() OVER (PARTITION BY branch ORDER BY n_docs DESC, substr(md5(line), 1, 15) DESC) = 1),
+        pairs AS (SELECT DISTINCT line, form FROM branches JOIN forms USING (branch) WHERE line <> form),
+        alike AS (
+          SELECT form, p.line FROM pairs p JOIN inside a ON a.line = p.line JOIN inside b ON b.line = p.form
+          WHERE len(list_filter(range(1, a.n + 1), lambda i: a.tokens[i] = b.tokens[i])) * 5 >= 4 * a.n),
+        members AS (SELECT form, line FROM alike UNION SELECT form, form FROM alike),
+        wide AS (SELECT line FROM members WHERE form IN (SELECT form FROM members JOIN lines USING (line) GROUP BY form HAVING count(DISTINCT doc_id) >= 2)),
+        gone AS (SELECT line FROM kinds WHERE n_docs >= 2 UNION SELECT line FROM wide),
         dropped AS (SELECT doc_id, list(DISTINCT line_no) AS nos FROM lines JOIN gone USING (line) GROUP BY doc_id)
         SELECT r.doc_id, len(r.l)::BIGINT AS n_lines, coalesce(len(nos), 0)::BIGINT AS n_dropped,
                sha256(coalesce(array_to_string(list_filter(list_transform(range(0, len(r.l)), lambda i: CASE WHEN nos IS NOT NULL AND list_contains(nos, i) THEN NULL ELSE r.l[i + 1] END), lambda x: x IS NOT NULL), chr(10)), '')) AS kept_sha256

@@ -1,5 +1,6 @@
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from hashlib import md5
 
 import pytest
 
@@ -11,28 +12,31 @@ def brute(rows, depth, similarity, min_docs, min_tokens):
     def toks(line):
         return ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\x0b\f\r]+", line) if t]
 
-    leaf_docs, kind_docs, kinds = defaultdict(set), defaultdict(set), defaultdict(set)
+    kind_docs, kinds = defaultdict(set), defaultdict(set)
     for doc, text, *_ in rows:
         for line in (text or "").split("\n"):
             t = tuple(toks(line))
-            if len(t) >= min_tokens:
+            if t and len(t) >= min_tokens:
                 leaf = (len(t), t[:depth])
-                leaf_docs[leaf].add(doc)
                 kind_docs[t].add(doc)
                 kinds[leaf].add(t)
     gone = {t for t, d in kind_docs.items() if len(d) >= min_docs}
-    for leaf, members in kinds.items():
-        if len(leaf_docs[leaf]) < min_docs or len(members) < 2:
-            continue
-        common = []
-        for p in range(depth, leaf[0]):
-            n = Counter()
-            for t in members:
-                n[t[p]] += len(kind_docs[t])
-            common.append(max(n.items(), key=lambda x: (x[1], x[0].encode()))[0])
-        own = [t for t in members if min(depth, leaf[0]) + sum(a == b for a, b in zip(t[depth:], common, strict=True)) >= similarity * leaf[0]]
-        if own and len(set().union(*(kind_docs[t] for t in own))) >= min_docs:
-            gone |= set(own) if len(common) else set()
+    for (n, lead), members in kinds.items():
+        spare = n * (1000 - round(similarity * 1000)) // 1000
+        branches = defaultdict(set)
+        for t in members if spare and len(members) > 1 else ():
+            rest = t[depth:]
+            branches[None].add(t)
+            for s in range(spare + 1):
+                lo, hi = ((x * len(rest) + spare) // (spare + 1) for x in (s, s + 1))
+                branches[s, rest[lo:hi]].add(t)
+        forms = defaultdict(set)
+        for b in branches.values():
+            form = max(b, key=lambda t: (len(kind_docs[t]), md5(" ".join(t).encode()).hexdigest()[:15]))
+            forms[form] |= {t for t in b if sum(x == y for x, y in zip(t, form, strict=True)) * 1000 >= n * round(similarity * 1000)}
+        for found in forms.values():
+            if len(found) > 1 and len(set().union(*(kind_docs[t] for t in found))) >= min_docs:
+                gone |= found
     out = []
     for doc, text, *_ in rows:
         lines = (text or "").split("\n")
@@ -44,7 +48,7 @@ def brute(rows, depth, similarity, min_docs, min_tokens):
 LOGS = [(100 + i, f"user {i} logged in from 10.0.0.{i} at gate red\nown line number {i} of this text only here\n  user x{i}  logged in from home at gate red\nlog entry for {'abcdefghij'[i]} was closed by the clerk today ok", "en", "s", 1) for i in range(10)]
 
 
-@pytest.mark.parametrize(("similarity", "min_docs", "min_tokens"), [(0.8, 3, 4), (0.5, 4, 2), (0.8, 2, 4)])
+@pytest.mark.parametrize(("similarity", "min_docs", "min_tokens"), [(0.8, 3, 4), (0.5, 4, 2), (0.8, 2, 1)])
 def test_against_brute_force(spark, odd_docs, odd_rows, similarity, min_docs, min_tokens):
     rows = [*odd_rows, *LOGS]
     from pyspark.sql import functions as F
@@ -62,6 +66,21 @@ def test_variable_fields_are_generalised(spark):
     assert all("clerk" not in t and "10.0.0" not in t for t in left)
 
 
+def test_a_leaf_holds_several_templates(spark):
+    """Templates with one leaf, each in two documents, among lines of the leaf that are all different."""
+    words = lambda i, n: [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(n)]
+    one = [" ".join(["the", "job", "of", *words(i, 4), "x" if j else "y", *words(i + 200, 4)]) for i in range(20) for j in (0, 1)]
+    alone = [" ".join(["the", "job", "of", *words(400 + i, 9)]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*one, *alone])), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in drop_recurring_lines(docs).collect()}
+    assert got == {i: int(i < 40) for i in range(100)}
+
+
+def test_two_documents_and_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Menu\n\nown words\nHome page"), (2, "Menu\n\nother\n  Home  page "), (3, "alone\nalone")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in drop_recurring_lines(docs).collect()} == {1: "\nown words", 2: "\nother", 3: "alone\nalone"}
+
+
 def test_empty_table(no_docs):
     assert drop_recurring_lines(no_docs).count() == 0
 
