@@ -112,7 +112,8 @@ def recurring_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, mi
     # leaves with more than one kind of line that enough documents may share
     shared = kinds.groupBy(LEAF).agg(F.count("*").alias("kinds"), F.sum("n_docs").alias("docs")).where((F.col("kinds") > 1) & (F.col("docs") >= min_docs)).select(LEAF)
     inside = cut(kinds.join(shared, LEAF, "left_semi"))
-    texts = maybe_in(lines.select(*LINE, "n_tokens", "whole"), inside, "line1").join(inside, LINE).dropDuplicates(LINE)
+    # a task folds a common line's places before they are sent
+    texts = maybe_in(lines.select(*LINE, "n_tokens", "whole"), inside, "line1").dropDuplicates(LINE).join(inside, LINE)
     tie = F.conv(F.substring(F.md5("whole"), 1, 15), 16, 10).cast("long")
     members = cut(_templates(written(texts.withColumn("tie", tie)), depth, round(similarity * 1000)))
     held = maybe_in(seen.select(*LINE, "doc_id"), members, "line1").join(members, LINE).select(*FORM, "doc_id").distinct()
