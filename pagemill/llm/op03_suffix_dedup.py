@@ -19,7 +19,8 @@ brought together by content:
 A very common anchor's pieces are folded by each task and again in the shard. Where its different strings
 are more than fits a batch, they are cut to the windows that may be shared before they are sorted.
 
-Cases: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat a
+Cases: a null text counts as empty; a text of any length is read in parts of half a megabyte, and a part's end may
+cut a piece in two, never a window; texts shorter than ``length`` lose nothing; rows that repeat a
 doc_id are judged each by itself against smaller ids; a null doc_id counts as larger than
 all others; an empty table gives an empty result; other columns are ignored. Removed bytes may cut
 a character, so kept bytes are binary.
@@ -45,8 +46,12 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.n
     """Anchor hash, text number, start, length and the string's hash of each piece of a slice's texts."""
     parts = []
     for i, j in slices(off, PART):  # arrays of eight bytes for each byte stay small
-        h, text, start, size, g = _pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
-        parts.append((h, text + i, start + off[i], size, g))
+        # a longer text goes window by window too: its parts overlap by a window less one byte
+        for lo in range(int(off[i]), max(int(off[i]) + 1, int(off[j]) - length + 1), PART) if j == i + 1 else (int(off[i]),):
+            hi = min(int(off[j]), lo + PART + length - 1) if j == i + 1 else int(off[j])
+            own = np.array([0, hi - lo], np.int64) if j == i + 1 else off[i : j + 1] - lo
+            h, text, start, size, g = _pieces(data[lo:hi], own, length, k)
+            parts.append((h, text + i, start + lo, size, g))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _pieces(data, off, length, k)
 
 
@@ -199,7 +204,7 @@ def _texts(blobs: DataFrame, n: int, schema: str, merge) -> DataFrame:
         for i in range(0, len(at), 2048):
             yield _record([(int(doc[p]), int(key[p]), merge(shard[p : p + c], a[p : p + c], b[p : p + c])) for p, c in zip(at[i : i + 2048].tolist(), count[i : i + 2048].tolist(), strict=True)], [pa.int64(), pa.int64(), pa.binary()], schema)
 
-    return blobs.repartition(n, "part").mapInArrow(run, schema)
+    return blobs.repartitionById(n, "part").mapInArrow(run, schema)
 
 
 def suspects(blobs: DataFrame, n: int) -> DataFrame:
@@ -228,7 +233,7 @@ def suspects(blobs: DataFrame, n: int) -> DataFrame:
             if many.any():
                 yield _record(_found(doc[many], key[many], code[many], np.full(int(many.sum()), s, np.uint32), s, n), FOUND_TYPES, FOUND)
 
-    found = blobs.repartition(n, "shard").mapInArrow(run, FOUND)
+    found = blobs.repartitionById(n, "shard").mapInArrow(run, FOUND)
     return _texts(found, n, "doc long, key long, codes binary", lambda s, a, b: squeeze_codes(b.astype(U64) << U64(32) | a))
 
 
@@ -485,7 +490,7 @@ def removed_spans(blobs: DataFrame, n: int, length: int, batch_bytes: int = BATC
         if len(doc):
             yield _record(_found(doc, key, lo, hi - lo, 0, n), FOUND_TYPES, FOUND)
 
-    found = blobs.repartition(n, "shard").mapInArrow(run, FOUND)
+    found = blobs.repartitionById(n, "shard").mapInArrow(run, FOUND)
 
     def merge(_, start, size):
         start = start.astype(np.int64)

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from pagemill.llm.op03_suffix_dedup import least_owner, remove_repeats, shared_prefixes, suffix_array
+from pagemill.llm import op03_suffix_dedup
+from pagemill.llm.op03_suffix_dedup import least_owner, pieces, remove_repeats, shared_prefixes, suffix_array
 
 LAST = 1 << 62
 
@@ -42,6 +43,27 @@ def test_common_anchors_are_trimmed(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"])) for r in got), key=str) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("part", [1, 64, 700, 1 << 19])
+def test_pieces_of_long_texts_have_every_window_once(monkeypatch, part):
+    monkeypatch.setattr(op03_suffix_dedup, "PART", part)
+    rng = np.random.default_rng(3)
+    size = [0, 30, 50, 51, 2000, 49, 777, 0]
+    off = np.concatenate([[0], np.cumsum(size)])
+    data = rng.integers(97, 99, off[-1]).astype(np.uint8)
+    _, text, start, length, _ = pieces(data, off, 50, 24)
+    windows = [(t, p) for t, s, n in zip(text.tolist(), start.tolist(), length.tolist(), strict=True) for p in range(s, s + n - 49)]
+    assert windows == [(t, p) for t in range(len(size)) for p in range(off[t], off[t + 1] - 49)]
+
+
+def test_texts_longer_than_a_part(spark):
+    rng = np.random.default_rng(4)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common = noise((1 << 19) + 3000)
+    rows = [(1, common[1000:]), (2, noise(70) + common), (3, common[-200:] + noise(60)), (4, noise(300))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"])) for r in got), key=str) == brute(rows, 50)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_interval_expansion_gives_shared_windows(seed):
     rng = np.random.default_rng(seed)
