@@ -7,7 +7,7 @@ brought together by content:
 1. Each window of ``length`` bytes has an anchor, its least-hashed ``k``-byte part. Equal windows
    have equal anchors. Windows of a text that share an anchor are one piece, a string of
    at most ``2 * length - k`` bytes. Tasks send anchors' hashes (32 bits within a shard) with their
-   texts; anchors that two documents have are suspects.
+   texts; anchors that two texts have are suspects.
 2. Texts with suspects send the suspects' pieces to the anchors' shards. Equal pieces fold
    into one, with the least document they stand in.
 3. A shard takes its anchors' pieces some megabytes at a time and sorts their suffixes. On
@@ -37,7 +37,7 @@ from .bytes_np import MIX1, U64, BYTE_VALUE, flat, mix, pack_bytes, rolling_hash
 from .session import shuffle_width
 
 LENGTH, K = 50, 24
-SLICE, PART = 2 << 20, 1 << 19
+SLICE, PART = 8 << 20, 1 << 19
 BATCH_BYTES = 1 << 19
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
@@ -102,7 +102,7 @@ def _by_shard(shard: np.ndarray, n: int):
     return order, [(s, slice(edge[s], edge[s + 1])) for s in np.flatnonzero(np.diff(edge)).tolist()]
 
 
-ANCHORS = "shard int, doc long, key long, texts binary, codes binary, text binary"
+ANCHORS = "shard int, key long, texts binary, codes binary, text binary"
 
 
 def _record(rows: list, types: list, schema: str) -> pa.RecordBatch:
@@ -110,19 +110,22 @@ def _record(rows: list, types: list, schema: str) -> pa.RecordBatch:
 
 
 def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
-    """A slice's anchors for each shard (texts, codes, text numbers), and rows of a text's anchors that are suspects already."""
-    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    """A slice's anchors for each shard (texts, codes, text numbers), and rows of a text's anchors that are suspects already.
+
+    A shard gets the keys of the texts that it has anchors of, so rows don't grow with the number of shards.
+    """
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
 
     def run(batches):
         shards = Shards(n)
         for batch in batches:
             data, off = flat(batch.column(0))
-            doc, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            key = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in slices(off, SLICE):
                 h, text, _, _, _ = pieces(data[off[i] : off[j]], off[i : j + 1] - off[i], length, k)
                 if not len(h):
                     continue
-                own = doc[i:j]
+                own = key[i:j]
                 code = shards.code(h)
                 order = np.lexsort((own[text], code))
                 code, text = code[order], text[order]
@@ -131,7 +134,7 @@ def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                 size = np.diff(np.append(first, len(code)))
                 last = first + size - 1
-                shared = own[text[first]] < own[text[last]]  # two documents of this slice have it
+                shared = own[text[first]] < own[text[last]]  # two texts of this slice have it
                 many = np.repeat(shared, size)
                 out = []
                 if many.any():
@@ -140,18 +143,18 @@ def anchor_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                     t, c = t[order], c[order]
                     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
                     for a, b in zip(at, np.append(at[1:], len(t))):
-                        out.append((int(t[a]) % n, int(own[t[a]]), int(key[i + t[a]]), None, squeeze_codes(c[a:b]), None))
+                        out.append((int(t[a]) % n, int(own[t[a]]), None, squeeze_codes(c[a:b]), None))
                 send = np.sort(np.concatenate([first, last[shared]]))
-                if not shared.all():  # all texts of one document: each needs the answer
+                if not shared.all():  # rows that repeat one key: each needs the answer
                     send = np.union1d(send, np.flatnonzero(~many))
-                table = np.stack([own, key[i:j]]).astype("<i8").tobytes()
                 code, text = code[send], text[send]
                 _, parts = _by_shard((code >> U64(32)).astype(np.int64), n)
                 for s, at in parts:
-                    out.append((s, 0, 0, table, squeeze(code[at] & U64(0xFFFFFFFF), ascending=True), squeeze(text[at])))
+                    used, which = np.unique(text[at], return_inverse=True)
+                    out.append((s, 0, own[used].astype("<i8").tobytes(), squeeze(code[at] & U64(0xFFFFFFFF), ascending=True), squeeze(which)))
                 yield _record(out, types, ANCHORS)
 
-    return rows.select("text", "doc", "key").mapInArrow(run, ANCHORS)
+    return rows.select("text", "key").mapInArrow(run, ANCHORS)
 
 
 def _group(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -208,33 +211,34 @@ def _texts(blobs: DataFrame, n: int, schema: str, merge) -> DataFrame:
 
 
 def suspects(blobs: DataFrame, n: int) -> DataFrame:
-    """``doc, key, codes``: codes of each text's anchors that two documents have."""
+    """``key, codes``: codes of each text's anchors that two texts have."""
 
     def run(batches):
         kept: dict[int, list] = {}
         for batch in batches:
             ready = []
-            for s, doc, key, table, codes, text in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for s, key, table, codes, text in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if table is None:
                     code = unsqueeze_codes(codes)
-                    one = np.array([doc], np.int64), np.array([key], np.int64)
+                    one = np.zeros(1, np.int64), np.array([key], np.int64)
                     ready.append((int(_group(*one, n)[0]), 0, pack_bytes(np.stack(one).astype("<i8").tobytes()), squeeze(np.array([len(code)])), squeeze(code & U64(0xFFFFFFFF)), squeeze(code >> U64(32))))
                 else:
-                    kept.setdefault(s, []).append((unsqueeze(codes, ascending=True), np.frombuffer(table, "<i8").reshape(2, -1)[:, unsqueeze(text)]))
+                    kept.setdefault(s, []).append((unsqueeze(codes, ascending=True), np.frombuffer(table, "<i8")[unsqueeze(text)]))
             if ready:
                 yield _record(ready, FOUND_TYPES, FOUND)
         for s, parts in kept.items():
-            code, (doc, key) = np.concatenate([c for c, _ in parts]), np.concatenate([p for _, p in parts], axis=1)
+            code, key = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(code)
-            code, doc, key = code[order], doc[order], key[order]
+            code, key = code[order], key[order]
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             size = np.diff(np.append(first, len(code)))
-            many = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
+            many = np.repeat(np.minimum.reduceat(key, first) < np.maximum.reduceat(key, first), size)
             if many.any():
-                yield _record(_found(doc[many], key[many], code[many], np.full(int(many.sum()), s, np.uint32), s, n), FOUND_TYPES, FOUND)
+                none = np.zeros(int(many.sum()), np.int64)
+                yield _record(_found(none, key[many], code[many], none + s, s, n), FOUND_TYPES, FOUND)
 
     found = blobs.repartitionById(n, "shard").mapInArrow(run, FOUND)
-    return _texts(found, n, "doc long, key long, codes binary", lambda s, a, b: squeeze_codes(b.astype(U64) << U64(32) | a))
+    return _texts(found, n, "doc long, key long, codes binary", lambda s, a, b: squeeze_codes(b.astype(U64) << U64(32) | a)).drop("doc")
 
 
 PIECES = "shard int, texts binary, code binary, size binary, bytes binary, which binary, text binary, start binary"
@@ -274,7 +278,6 @@ def piece_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                 place[order] = np.arange(len(one))
                 occ = np.argsort(place[which], kind="stable")
                 occ_place = place[which][occ]
-                table = np.stack([doc[i:j], key[i:j]]).astype("<i8").tobytes()
                 base = o[text]
                 out = []
                 for s, at in parts:
@@ -282,7 +285,9 @@ def piece_blobs(rows: DataFrame, n: int, length: int, k: int) -> DataFrame:
                     q = slice(*np.searchsorted(occ_place, [at.start, at.stop]))
                     who = occ[q]
                     begin = start[who] - base[who]
-                    out.append((s, table, squeeze(code[order[at]] & U64(0xFFFFFFFF), ascending=True), squeeze(size[u]), pack_bytes(part[spread(start[u], size[u])].tobytes()), squeeze(occ_place[q] - at.start, ascending=True), squeeze(text[who]), squeeze(begin)))
+                    used, owner = np.unique(text[who], return_inverse=True)
+                    table = np.stack([doc[i + used], key[i + used]]).astype("<i8").tobytes()
+                    out.append((s, table, squeeze(code[order[at]] & U64(0xFFFFFFFF), ascending=True), squeeze(size[u]), pack_bytes(part[spread(start[u], size[u])].tobytes()), squeeze(occ_place[q] - at.start, ascending=True), squeeze(owner), squeeze(begin)))
                 yield _record(out, types, PIECES)
 
     return rows.select("text", "doc", "key", "codes").mapInArrow(run, PIECES)
@@ -506,9 +511,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch_byte
     """``doc_id, n_bytes, spans, kept``: maximal removed ranges and the bytes that are left, for each input row."""
     n = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    rows = docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("key"), F.encode(text, "UTF-8").alias("text"))
+    # two rows of one key would only ask for each other's anchors; spans are told apart by doc too
     asked = suspects(anchor_blobs(rows, n, length, k), n)
-    spans = removed_spans(piece_blobs(rows.join(asked, ["doc", "key"]), n, length, k), n, length, batch_bytes)
+    spans = removed_spans(piece_blobs(rows.join(asked, "key"), n, length, k), n, length, batch_bytes).withColumnRenamed("doc", "own")
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -532,5 +539,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batch_byte
                 out_kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(out_spans, kind), pa.array(out_kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    whole = rows.join(spans, ["doc", "key"], "left").select(F.nullif("doc", F.lit(LAST)).alias("doc"), "text", "spans")
+    # equality of the documents is written as no join key, so that the texts' exchange is the one above
+    same = (rows["key"] == spans["key"]) & (rows["doc"].bitwiseXOR(spans["own"]) == 0)
+    whole = rows.join(spans, same, "left").select(F.nullif("doc", F.lit(LAST)).alias("doc"), "text", "spans")
     return whole.mapInArrow(run, KEPT)
