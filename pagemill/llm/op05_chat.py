@@ -4,7 +4,9 @@ A template is parsed into a syntax tree, constants are folded, and the tree beco
 Python closures. A closure yields pieces ``(text, trained)``; text inside
 ``{% generation %} ... {% endgeneration %}`` is marked as trained on. The language is a
 sandbox: it reads keys of the mappings it is given and nothing else, has no calls, no
-attributes of Python objects, no unbounded loops, and limits on size and depth.
+attributes of Python objects, no loops but over lists and iterators it is given, and limits on size and depth.
+Whatever breaks a rule is a TemplateError. A value that the template makes by joining or by filters has
+at most 16 M characters (a number 18 digits); one that it is given, or one filter makes of it, may have any length.
 
     {{ expr }}   {% set name = expr %}   {% generation %} .. {% endgeneration %}
     {% for name in expr %} .. {% endfor %}   (loop.first, loop.last, loop.index)
@@ -39,7 +41,8 @@ TEMPLATE = (
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}"
     "</turn>\n{% endfor %}"
 )
-MAX_SOURCE, MAX_DEPTH = 1 << 16, 50
+MAX_SOURCE, MAX_DEPTH, MAX_TREE = 1 << 16, 50, 100
+MAX_VALUE, MAX_NUMBER = 1 << 24, 10**18
 PART_CHARS = 1 << 20
 
 
@@ -74,6 +77,21 @@ _CONST = {"true": True, "false": False, "none": None}
 _SLASH = {"n": "\n", "t": "\t", "r": "\r"}
 
 
+def limited(made):
+    """A value that the template made, if it isn't too large."""
+    if len(made) > MAX_VALUE if isinstance(made, str) else abs(made) >= MAX_NUMBER:
+        raise TemplateError("value too large")
+    return made
+
+
+def depth(node: tuple) -> int:
+    """How many nodes lie below each other; counted level by level, as chains may be long."""
+    level, n = [node], 0
+    while level:
+        level, n = [x for parent in level for x in parent[1:] if isinstance(x, tuple)], n + 1
+    return n
+
+
 class Expression:
     """Recursive-descent parser of one expression; nodes are tuples headed by their kind."""
 
@@ -101,6 +119,8 @@ class Expression:
         node = self.either()
         if self.at < len(self.tokens):
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
+        if depth(node) > MAX_TREE:
+            raise TemplateError("expression too deep")
         return node
 
     def either(self) -> tuple:
@@ -181,6 +201,8 @@ class Expression:
         if kind == "str":
             return ("const", re.sub(r"\\(.)", lambda m: _SLASH.get(m[1], m[1]), text[1:-1], flags=re.DOTALL))
         if kind == "num":
+            if len(text) > 18:
+                raise TemplateError("number too large")
             return ("const", int(text))
         if kind == "name" and text in _CONST:
             return ("const", _CONST[text])
@@ -267,7 +289,7 @@ def fold(node: tuple) -> tuple:
         return ("const", not a[1]) if a[0] == "const" else ("not", a)
     if kind == "filter":
         a = fold(node[2])
-        return ("const", FILTERS[node[1]](show(a[1]))) if a[0] == "const" else ("filter", node[1], a)
+        return ("const", limited(FILTERS[node[1]](show(a[1])))) if a[0] == "const" else ("filter", node[1], a)
     if kind == "out":
         a = fold(node[1])
         return ("text", show(a[1])) if a[0] == "const" else ("out", a)
@@ -315,14 +337,19 @@ def value(node: tuple) -> Callable[[dict], object]:
     if kind == "not":
         return lambda scope, a=value(node[1]): not a(scope)
     if kind == "filter":
-        return lambda scope, f=FILTERS[node[1]], a=value(node[2]): f(show(a(scope)))
+        # what is read from a mapping may be of any length
+        check = (lambda made: made) if node[2][0] == "key" else limited
+        return lambda scope, f=FILTERS[node[1]], a=value(node[2]): check(f(show(a(scope))))
     a, b = value(node[1]), value(node[2])
     if kind == "key":
         def keyed(scope):
             have = a(scope)
             if not isinstance(have, dict):
                 raise TemplateError("only mappings have keys")
-            return have.get(b(scope))
+            key = b(scope)
+            if not isinstance(key, (str, int)):
+                raise TemplateError("keys are texts or numbers")
+            return have.get(key)
         return keyed
     if kind == "and":
         return lambda scope: a(scope) and b(scope)
@@ -337,9 +364,9 @@ def value(node: tuple) -> Callable[[dict], object]:
     if kind == "+":
         def added(scope):
             x, y = a(scope), b(scope)
-            return x + y if type(x) is type(y) is int else show(x) + show(y)
+            return limited(x + y if type(x) is type(y) is int else show(x) + show(y))
         return added
-    return lambda scope: show(a(scope)) + show(b(scope))
+    return lambda scope: limited(show(a(scope)) + show(b(scope)))
 
 
 Pieces = Iterator[tuple[str, bool]]
@@ -369,7 +396,10 @@ def closure(node: tuple, trained: bool = False) -> Callable[[dict], Pieces]:
         name, over, body = node[1], value(node[2]), closure(node[3], trained)
 
         def loop(scope):
-            rest, index, missing = iter(over(scope)), 0, object()
+            given = over(scope)
+            if not isinstance(given, (list, tuple, Iterator)):
+                raise TemplateError("loops go over lists")
+            rest, index, missing = iter(given), 0, object()
             item = next(rest, missing)
             while item is not missing:
                 after = next(rest, missing)

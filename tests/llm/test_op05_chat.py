@@ -34,6 +34,30 @@ def test_sandbox(bad):
         text(bad, x="y", a=1)
 
 
+CHAINS = ["{{ " + "not " * 5000 + "a }}", "{{ " + "a + " * 5000 + "a }}", "{{ a" + ".b" * 5000 + " }}", "{{ a" + " | trim" * 5000 + " }}", "{{ " + "a or " * 5000 + "a }}", "{{ a == " + "9" * 5000 + " }}"]
+LARGE = [
+    "{% set a = 'abcdefgh' %}" + "{% set a = a ~ a %}" * 30 + "{{ a }}",
+    "{% set a = x %}" + "{% set a = a + a %}" * 30 + "{{ a }}",
+    "{{ '#'" + " | escape" * 40 + " }}",
+    "{% set a = '#' %}" + "{% set a = a | escape %}" * 40 + "{{ a }}",
+    "{% set a = 999999999999999999 %}" + "{% set a = a + a %}" * 99,
+]
+KINDS = ["{% for i in 5 %}{% endfor %}", "{% for i in none %}{% endfor %}", "{% for i in 'abc' %}{% endfor %}", "{{ m[m] }}", "{{ m[none] }}"]
+
+
+@pytest.mark.parametrize("bad", [*CHAINS, *LARGE, *KINDS])
+def test_limits_are_template_errors(monkeypatch, bad):
+    monkeypatch.setattr(chat, "MAX_VALUE", 1 << 16)
+    with pytest.raises(chat.TemplateError):
+        text(bad, x="y", a=1, m={"k": 1})
+
+
+def test_given_texts_may_be_long(monkeypatch):
+    monkeypatch.setattr(chat, "MAX_VALUE", 1 << 16)
+    long = "#" * (chat.MAX_VALUE + 1)
+    assert len(text("{% for m in ms %}{{ m.text | escape }}{% endfor %}", ms=[{"text": long}])) == 2 * len(long)
+
+
 def test_only_mappings_have_keys():
     with pytest.raises(chat.TemplateError):
         text("{{ x.upper }}", x="y")
