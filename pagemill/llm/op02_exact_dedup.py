@@ -4,7 +4,8 @@ A text's UTF-8 bytes are cut into chunks. Each chunk has a polynomial hash modul
 primes, ``H(c) = sum (c[i] + 1) * B**(len - 1 - i)``. Chunks of one text combine by
 length-shifted arithmetic, ``H(xy) = H(x) * B**len(y) + H(y)``, so a chunk that is
 followed by ``t`` bytes adds ``H(c) * B**t``: a plain sum that any tasks can share and
-that is summed before the shuffle. A huge text is thus hashed by many tasks.
+that is summed before the shuffle. The chunks of a huge text (more than ``SPREAD`` of them) are dealt
+out and hashed by many tasks; only its SHA-256 has to be worked out where it is read.
 
 Texts with equal fingerprint and length are then compared chunk by chunk: chunk
 contents are grouped as they stream by, equal contents fold into one before the
@@ -28,6 +29,7 @@ from .bytes_np import flat
 from .session import cut
 
 CHUNK_BYTES = 1 << 16
+SPREAD = 16
 #: Primes and bases of the two hashes.
 FIELDS = ((2147483647, 1664525347), (2147483629, 1103515245))
 
@@ -69,15 +71,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), raw.alias("raw"))
-    rows = rows.select("row", "id", F.sha2("raw", 256).alias("text_sha256"), F.octet_length("raw").cast("long").alias("n_bytes"), "raw")
+    rows = rows.select("row", "id", F.octet_length("raw").cast("long").alias("n_bytes"), "raw")
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / chunk_bytes).cast("long"))
-    parts = rows.select("row", "id", "text_sha256", "n_bytes", "raw", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("no"))
     begin = F.col("no") * chunk_bytes
-    parts = parts.select(
-        "row", "id", "text_sha256", "n_bytes",
-        F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - begin - chunk_bytes).alias("tail"),
-        F.substring(F.col("raw"), (begin + 1).cast("int"), F.lit(chunk_bytes)).alias("chunk"),
-    )
+
+    def chunks(texts: DataFrame) -> DataFrame:
+        each = texts.select("row", "id", F.sha2("raw", 256).alias("text_sha256"), "n_bytes", "raw", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("no"))
+        return each.select(
+            "row", "id", "text_sha256", "n_bytes",
+            F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - begin - chunk_bytes).alias("tail"),
+            F.substring(F.col("raw"), (begin + 1).cast("int"), F.lit(chunk_bytes)).alias("chunk"),
+        )
+
+    huge = F.col("n_bytes") > SPREAD * chunk_bytes
+    parts = chunks(rows.where(~huge)).unionByName(chunks(rows.where(huge)).repartition("row", "tail"))
 
     def hash_parts(batches):
         tables = [power(base, np.arange(chunk_bytes), prime) for prime, base in fields]
