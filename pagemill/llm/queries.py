@@ -96,7 +96,72 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_suffix_dedup, op4_decontamination, op5_chat, op6_toxicity, op7_brown, op8_line_dedup, op9_simhash, op10_quality)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op11_bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    done = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hashlib import sha256
+
+    from .op12_codes import by_label, compress
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    digest = sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return by_label(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_packing, op2_exact_dedup, op3_suffix_dedup, op4_decontamination, op5_chat, op6_toxicity, op7_brown, op8_line_dedup, op9_simhash, op10_quality, op11_bpe, op12_codes, op13_filter_audit)
+}
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Product codes in SQL, a step for each round."""
+    distance = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"""
+        WITH q AS MATERIALIZED (
+          SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cut AS MATERIALIZED (SELECT vec_id, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS x FROM q, range({parts}) r(p)),
+        book0 AS MATERIALIZED (
+          SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+          FROM cut WHERE vec_id IN (SELECT vec_id FROM q ORDER BY vec_id LIMIT {entries}))"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        near{k} AS MATERIALIZED (SELECT vec_id, p, min({distance} * {entries} + e) AS best FROM cut JOIN book{k} USING (p) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""
+        sums{k} AS (
+          SELECT p, best % {entries} AS e, i, count(*) AS n, sum(x[i])::BIGINT AS s
+          FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM cut JOIN near{k} USING (vec_id, p)) GROUP BY ALL),
+        mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums{k} GROUP BY p, e),
+        book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))""")
+    return (
+        ",".join(steps)
+        + f"""
+        , coded AS (SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN q USING (vec_id)
+    """
+    )
+
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -166,4 +231,34 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op12_codes": codes_sql(),
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+        w AS (
+          SELECT doc_id, part, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS words, min(doc_id) OVER (PARTITION BY x) AS least FROM d),
+        m AS (
+          SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                 + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::INT
+                 + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w),
+        said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        cells AS (
+          SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+          FROM m LEFT JOIN said USING (doc_id) GROUP BY part, mask),
+        f(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (
+          SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+        steps AS (
+          SELECT filter_order, k AS step, bits[k] AS bit, list_sum(bits[:k])::INT - bits[k] AS before FROM orders, range(1, 6) r(k)),
+        counted AS (
+          SELECT part, filter_order, step::INT AS step, bit,
+                 sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                 sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                 sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                 sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                 sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM cells, steps GROUP BY ALL)
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+    """,
 }
