@@ -41,6 +41,8 @@ CONTINUED = bytes(range(0x80, 0xC0))
 MARKS = b"#$%&*|"
 WORD_PART = 1 << 20
 BLANK = re.compile(rb"[\x09-\x0D\x20]")
+#: Places over which a group of equal texts is dealt.
+SALT = 32
 #: Parts whose result rows leave a task in one batch.
 PARTS_AT_ONCE = 64
 
@@ -91,7 +93,10 @@ def cells(rows: DataFrame, labels: DataFrame) -> DataFrame:
     least = rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha").alias("copied"), "least")
     said = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = rows.join(said, F.col("doc_id") == F.col("labelled"), "left")
-    whole = known.join(least, F.col("sha") == F.col("copied"), "left")
+    # a group of copies may hold a third of all rows: its least id is sent to SALT places, its rows are dealt to them
+    every = least.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    whole = dealt.join(every, (F.col("sha") == F.col("copied")) & (F.col("salt") == F.col("place")), "left")
     e = F.when(F.col("doc_id") > F.col("least"), 1 << LETTERS.index("E")).otherwise(0)
     return whole.groupBy("part", (F.col("mask") + e).alias("mask")).agg(F.count("*").alias("n"), F.sum(F.coalesce("good", F.lit(0))).cast("long").alias("good"), F.sum(F.coalesce("toxic", F.lit(0))).cast("long").alias("toxic"))
 
