@@ -1,7 +1,8 @@
 """Running values over the rows of a key in order, when one key may hold most of the rows.
 
-Rows are cut into chunks of a key's order values. Windows run inside chunks, and a second
-window runs over one summary row of each chunk, so no task gets a whole key.
+Rows are dealt to chunks: ranges of the order (keys first), cut so that each holds about the same number of *rows*,
+whatever the order's values are. Windows run inside chunks, and a second window runs over one summary row of each
+chunk of a key, so no task gets a whole key. Borders come from a sample, so the dealt rows are written before they are used.
 """
 
 from __future__ import annotations
@@ -11,11 +12,19 @@ from pyspark.sql import functions as F
 
 from .settle import settled
 
+#: Rows of a chunk.
 CHUNK = 1 << 16
 
 
-def with_chunk(df: DataFrame, order: Column, width: int = CHUNK) -> DataFrame:
-    return df.withColumn("__chunk", F.floor(order / width).cast("long"))
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], rows: int = CHUNK, ready: bool = False) -> DataFrame:
+    """``df`` with ``__chunk``, the number of the range of (keys, order) that a row lies in.
+
+    Rows that agree in keys and order share a chunk. ``df`` is read three times (counted, sampled, dealt), so it is
+    written first unless it is ``ready``: written already, or as cheap as a scan.
+    """
+    df = df if ready else settled(df)
+    chunks = max(1, -(-df.count() // rows))
+    return settled(df.repartitionByRange(chunks, *keys, *order).withColumn("__chunk", F.spark_partition_id().cast("long")))
 
 
 def _carry(df: DataFrame, keys: list[str], summary: list[Column], carried: list[tuple[str, Column]]) -> DataFrame:
@@ -47,6 +56,15 @@ def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, na
     return df.withColumn(name, F.coalesce("__lag", "__before")).drop("__v", "__lag", "__before")
 
 
+def last_value(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The last value that isn't null, at or before each row."""
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__v", value).withColumn("__own", F.last("__v", ignorenulls=True).over(inside))
+    last = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__last")
+    df = _carry(df, keys, [last], [("__before", F.last("__last", ignorenulls=True))])
+    return df.withColumn(name, F.coalesce("__own", "__before")).drop("__v", "__own", "__before")
+
+
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__v", value).withColumn("__m", F.max("__v").over(inside))

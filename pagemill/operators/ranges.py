@@ -36,14 +36,14 @@ def selection_violations(requests: DataFrame) -> DataFrame:
 def contiguous_ranges(pages: DataFrame, keys: list[str], page: str = "page", chunk: int = ordered.CHUNK) -> DataFrame:
     """First and last page and number of pages of each run of neighbouring pages."""
     df = pages.select(*keys, F.col(page).alias("page")).distinct()
-    df = ordered.ordinal(ordered.with_chunk(df, F.col("page"), chunk), keys, ["page"], "__n")
+    df = ordered.ordinal(ordered.with_chunk(df, keys, ["page"], chunk), keys, ["page"], "__n")
     df = df.withColumn("__island", F.col("page") - F.col("__n"))
     return df.groupBy(*keys, "__island").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("pages")).drop("__island")
 
 
 def representative_pages(pages: DataFrame, keys: list[str], page: str = "page", chunk: int = ordered.CHUNK) -> DataFrame:
     """The first, the middle and the last page of each key."""
-    df = ordered.ordinal(ordered.with_chunk(pages, F.col(page), chunk), keys, [page], "__n").drop("__chunk")
+    df = ordered.ordinal(ordered.with_chunk(pages, keys, [page], chunk), keys, [page], "__n").drop("__chunk")
     counts = pages.groupBy(*keys).agg(F.count("*").alias("__count"))
     df = df.join(counts, keys)
     return df.where((F.col("__n") == 1) | (F.col("__n") == F.col("__count")) | (F.col("__n") == F.floor((F.col("__count") + 1) / 2))).drop("__n", "__count")
@@ -51,6 +51,6 @@ def representative_pages(pages: DataFrame, keys: list[str], page: str = "page",
 
 def tail(rows: DataFrame, keys: list[str], order: str, n: int, chunk: int = ordered.CHUNK) -> DataFrame:
     """The last n rows of each key."""
-    df = ordered.ordinal(ordered.with_chunk(rows, F.col(order), chunk), keys, [order], "__n").drop("__chunk")
+    df = ordered.ordinal(ordered.with_chunk(rows, keys, [order], chunk), keys, [order], "__n").drop("__chunk")
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__count"))
     return df.join(counts, keys).where(F.col("__n") > F.col("__count") - n).drop("__n", "__count")

@@ -157,7 +157,7 @@ def q_tail(spark: SparkSession, d: str) -> DataFrame:
     SELECT source_id, page::INT AS page FROM (SELECT source_id, page, count(*) OVER (PARTITION BY source_id) AS n FROM ({PAGES_SQL})) WHERE page IN (1, (n + 1) // 2, n)
 """)
 def q_representative(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.representative_pages(tables.document_pages(spark, d).drop("text"), ["source_id"])
+    return ranges.representative_pages(tables.numbered(tables.document_texts(spark, d).drop("text"), ready=True), ["source_id"])
 
 
 COVERAGE_SQL = """

@@ -17,16 +17,12 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "doc_id", "text")
 
 
-def numbered(rows: DataFrame, chunk: int = ordered.CHUNK) -> DataFrame:
+def numbered(rows: DataFrame, chunk: int = ordered.CHUNK, ready: bool = False) -> DataFrame:
     """Rows of documents with their page number in place of doc_id; a source may hold most of the rows.
 
-    It comes after what is worked out from the texts, so that no text is shuffled.
+    It comes after what is worked out from the texts, so that no text is shuffled. ``ready``: the rows are as cheap as a scan.
     """
-    return ordered.ordinal(ordered.with_chunk(rows, F.col("doc_id"), chunk), ["source_id"], ["doc_id"], "page").drop("__chunk", "doc_id")
-
-
-def document_pages(spark: SparkSession, sf_dir: str, chunk: int = ordered.CHUNK) -> DataFrame:
-    return numbered(document_texts(spark, sf_dir), chunk).select("source_id", "page", "text")
+    return ordered.ordinal(ordered.with_chunk(rows, ["source_id"], ["doc_id"], chunk, ready), ["source_id"], ["doc_id"], "page").drop("__chunk", "doc_id")
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

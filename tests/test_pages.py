@@ -103,7 +103,7 @@ def test_selection_and_ranges(spark):
 def test_running_values(spark, chunk):
     rng = random.Random(3)
     rows = [(k, i, rng.randint(0, 9)) for k in (1, None) for i in range(40)]
-    df = ordered.with_chunk(spark.createDataFrame(rows, "k int, i int, v int"), F.col("i"), chunk)
+    df = ordered.with_chunk(spark.createDataFrame(rows, "k int, i int, v int"), ["k"], ["i"], chunk)
     df = ordered.ordinal(df, ["k"], ["i"], "n")
     df = ordered.previous(df, ["k"], ["i"], F.col("v"), "p")
     df = ordered.running_max(df, ["k"], ["i"], F.col("v"), "m")
@@ -113,3 +113,24 @@ def test_running_values(spark, chunk):
         v = [x for kk, _, x in rows if kk == k]
         for i in range(40):
             assert got[k, i] == (i + 1, v[i - 1] if i else None, max(v[: i + 1]), sum(v[: i + 1]))
+
+
+def test_chunks_hold_rows_whatever_the_keys_are(spark):
+    """Hashed and huge order values of one key, dense ones of another: chunks are even, values are right."""
+    n = 20_000
+    hashed = spark.range(n).select(F.lit("hot").alias("k"), F.xxhash64("id").alias("i"), (F.col("id") % 10).alias("v"))
+    df = hashed.unionByName(spark.range(300).select(F.lit("small").alias("k"), F.col("id").alias("i"), (F.col("id") % 3).alias("v")))
+    dealt = ordered.with_chunk(df, ["k"], ["i"], 1000)
+    sizes = [r["count"] for r in dealt.groupBy("__chunk").count().collect()]
+    assert 15 <= len(sizes) <= 21 and max(sizes) < 2500
+    mark = F.when(F.col("v") == 0, F.col("i"))
+    got = ordered.last_value(ordered.running_sum(ordered.ordinal(dealt, ["k"], ["i"], "n"), ["k"], ["i"], F.col("v"), "s"), ["k"], ["i"], mark, "z")
+    want, rows = {}, {}
+    for r in df.collect():
+        rows.setdefault(r["k"], []).append((r["i"], r["v"]))
+    for k, own in rows.items():
+        total, last = 0, None
+        for at, (i, v) in enumerate(sorted(own), 1):
+            total, last = total + v, i if v == 0 else last
+            want[k, i] = (at, total, last)
+    assert {(r["k"], r["i"]): (r["n"], r["s"], r["z"]) for r in got.collect()} == want
