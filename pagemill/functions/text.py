@@ -62,6 +62,25 @@ def is_inside(path: Column, root: Column) -> Column:
     return ((path == root) | path.startswith(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/")))) & ~F.array_contains(F.split(path, "/"), "..")
 
 
+def normal_path(path: Column) -> Column:
+    """A path without ``.`` and empty steps, and with ``..`` taken back where there is a step to take back."""
+    def add(done: Column, s: Column) -> Column:
+        back = (s == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        return F.when(s.isin("", "."), done).when(back, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when((s == "..") & path.startswith("/"), done).otherwise(F.concat(done, F.array(s)))
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(steps, "/"))
+
+
+def parent(path: Column) -> Column:
+    """The folder of a path; ``.`` where it names none."""
+    return F.when(path.rlike("^/+[^/]*/*$"), "/").when(~path.contains("/"), ".").otherwise(F.regexp_replace(path, "/+[^/]*/*$", ""))
+
+
+def stem(path: Column) -> Column:
+    """The last step of a path without its suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?/*$", 1)
+
+
 def is_digest(text: Column, any_case: bool = False) -> Column:
     return (F.lower(text) if any_case else text).rlike("^[0-9a-f]{64}$")
 

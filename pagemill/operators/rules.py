@@ -1,18 +1,23 @@
 """Requirements by declarative rules, and the validation of workflow state against them.
 
 A rule has an id, conditions by field (any of the values; ``traits_any`` meets, ``traits_all`` is contained)
-and what it requires. A rule table is small by contract (``MAX_RULES``), so it is sent to every task.
+and what it requires. A rule table is small by contract (``MAX_RULES``, checked), so it is sent to every task, as bit sets.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as tx
+from . import ordered
 from .ledger import violations
+from .rule_index import RuleIndex
+from .settle import settled
 
 MAX_RULES = 10_000
 FIELDS = ("operation", "source_kind", "delivery_level", "execution_mode", "verification_scope", "outcome")
@@ -36,55 +41,43 @@ FINAL_OUTCOMES = ("complete", "downgraded")
 EXIT_CODES = {"complete": 0, "downgraded": 0, "in-progress": 1, "blocked": 2, "invalid": 1}
 DELIVERY_RANK = {"rough-draft": 0, "clean-semantic": 1, "publication-polish": 2}
 
-_WORK = ("convert", "resume", "refine")
-_CHECKED = (*_WORK, "review")
-_DURABLE = {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed")}
-_POLISH = {"operation": ("repair",), "delivery_level": ("publication-polish",)}
-_MATH = ("math-heavy", "encoded-math")
-_STATE = ("conversion-state.md", "conversion-notes.md")
-_MODEL = ("page-manifest.md", "object-inventory.md", "style-profile.md", "document-ir.md")
-_SOURCE_MODEL = ("page-manifest.md", "object-inventory.md", "document-ir.md")
-_MATH_MODEL = ("object-inventory.md", "math-inventory.md", "glyph-map.md")
-_BASE_GATES = ("workflow-setup", "build-verification", "final-state-review")
-_POLISH_GATES = ("artifact-scan", "clean-room-build", "publication-review")
-
 # Fixed values: (id, conditions, required) in order.
 FILE_RULES = (
     ("all-projects", {}, ("main.tex",)),
-    ("stateful-workflow", {"operation": _WORK}, _STATE),
-    ("durable-repair-workflow", _DURABLE, _STATE),
-    ("publication-repair-workflow", _POLISH, _STATE),
-    ("full-reconstruction-model", {"operation": ("convert", "resume")}, _MODEL),
+    ("stateful-workflow", {"operation": ("convert", "resume", "refine")}, ("conversion-state.md", "conversion-notes.md")),
+    ("durable-repair-workflow", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed")}, ("conversion-state.md", "conversion-notes.md")),
+    ("publication-repair-workflow", {"operation": ("repair",), "delivery_level": ("publication-polish",)}, ("conversion-state.md", "conversion-notes.md")),
+    ("full-reconstruction-model", {"operation": ("convert", "resume")}, ("page-manifest.md", "object-inventory.md", "style-profile.md", "document-ir.md")),
     ("refinement-style-model", {"operation": ("refine",)}, ("style-profile.md",)),
-    ("publication-refinement-model", {"operation": ("refine",), "delivery_level": ("publication-polish",)}, _SOURCE_MODEL),
-    ("publication-repair-style", _POLISH, ("style-profile.md",)),
-    ("visual-source-model", {"operation": _WORK, "source_kind": ("scanned", "mixed")}, _SOURCE_MODEL),
-    ("book-model", {"operation": _WORK, "traits_any": ("book",)}, _MODEL),
-    ("long-document-model", {"operation": _WORK, "traits_any": ("long-document",)}, ("page-manifest.md", "document-ir.md")),
-    ("math-model", {"operation": _WORK, "traits_any": _MATH}, _MATH_MODEL),
-    ("durable-math-repair-model", {**_DURABLE, "traits_any": _MATH}, _MATH_MODEL),
-    ("publication-math-repair-model", {**_POLISH, "traits_any": _MATH}, _MATH_MODEL),
-    ("cjk-style-model", {"operation": _WORK, "traits_any": ("cjk",)}, ("style-profile.md",)),
-    ("durable-cjk-repair-model", {**_DURABLE, "traits_any": ("cjk",)}, ("style-profile.md",)),
-    ("publication-cjk-repair-model", {**_POLISH, "traits_any": ("cjk",)}, ("style-profile.md",)),
-    ("visual-complex-model", {"operation": _WORK, "traits_any": ("visual-complex",)}, ("page-manifest.md", "object-inventory.md", "style-profile.md")),
+    ("publication-refinement-model", {"operation": ("refine",), "delivery_level": ("publication-polish",)}, ("page-manifest.md", "object-inventory.md", "document-ir.md")),
+    ("publication-repair-style", {"operation": ("repair",), "delivery_level": ("publication-polish",)}, ("style-profile.md",)),
+    ("visual-source-model", {"operation": ("convert", "resume", "refine"), "source_kind": ("scanned", "mixed")}, ("page-manifest.md", "object-inventory.md", "document-ir.md")),
+    ("book-model", {"operation": ("convert", "resume", "refine"), "traits_any": ("book",)}, ("page-manifest.md", "object-inventory.md", "style-profile.md", "document-ir.md")),
+    ("long-document-model", {"operation": ("convert", "resume", "refine"), "traits_any": ("long-document",)}, ("page-manifest.md", "document-ir.md")),
+    ("math-model", {"operation": ("convert", "resume", "refine"), "traits_any": ("math-heavy", "encoded-math")}, ("object-inventory.md", "math-inventory.md", "glyph-map.md")),
+    ("durable-math-repair-model", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed"), "traits_any": ("math-heavy", "encoded-math")}, ("object-inventory.md", "math-inventory.md", "glyph-map.md")),
+    ("publication-math-repair-model", {"operation": ("repair",), "delivery_level": ("publication-polish",), "traits_any": ("math-heavy", "encoded-math")}, ("object-inventory.md", "math-inventory.md", "glyph-map.md")),
+    ("cjk-style-model", {"operation": ("convert", "resume", "refine"), "traits_any": ("cjk",)}, ("style-profile.md",)),
+    ("durable-cjk-repair-model", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed"), "traits_any": ("cjk",)}, ("style-profile.md",)),
+    ("publication-cjk-repair-model", {"operation": ("repair",), "delivery_level": ("publication-polish",), "traits_any": ("cjk",)}, ("style-profile.md",)),
+    ("visual-complex-model", {"operation": ("convert", "resume", "refine"), "traits_any": ("visual-complex",)}, ("page-manifest.md", "object-inventory.md", "style-profile.md")),
 )
 GATE_RULES = (
-    ("stateful-base", {"operation": _WORK}, _BASE_GATES),
-    ("durable-repair-base", _DURABLE, _BASE_GATES),
+    ("stateful-base", {"operation": ("convert", "resume", "refine")}, ("workflow-setup", "build-verification", "final-state-review")),
+    ("durable-repair-base", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed")}, ("workflow-setup", "build-verification", "final-state-review")),
     ("convert-gates", {"operation": ("convert",)}, ("source-analysis", "semantic-reconstruction")),
     ("resume-gates", {"operation": ("resume",)}, ("resume-integrity", "semantic-reconstruction")),
     ("refine-gates", {"operation": ("refine",)}, ("refinement-review",)),
-    ("repair-gates", _DURABLE, ("repair-verification",)),
-    ("source-aware-gates", {"operation": _CHECKED, "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
-    ("durable-source-aware-repair-gates", {**_DURABLE, "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
-    ("publication-source-aware-repair-gates", {**_POLISH, "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
-    ("publication-gates", {"operation": _CHECKED, "delivery_level": ("publication-polish",)}, _POLISH_GATES),
-    ("publication-repair-gates", _POLISH, (*_BASE_GATES, "repair-verification", *_POLISH_GATES)),
-    ("book-gates", {"operation": _CHECKED, "traits_any": ("book",)}, ("book-structure-review",)),
-    ("math-gates", {"operation": _CHECKED, "traits_any": _MATH}, ("math-object-review",)),
-    ("durable-math-repair-gates", {**_DURABLE, "traits_any": _MATH}, ("math-object-review",)),
-    ("publication-math-repair-gates", {**_POLISH, "traits_any": _MATH}, ("math-object-review",)),
+    ("repair-gates", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed")}, ("repair-verification",)),
+    ("source-aware-gates", {"operation": ("convert", "resume", "refine", "review"), "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
+    ("durable-source-aware-repair-gates", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed"), "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
+    ("publication-source-aware-repair-gates", {"operation": ("repair",), "delivery_level": ("publication-polish",), "verification_scope": ("source-aware",)}, ("source-fidelity-review",)),
+    ("publication-gates", {"operation": ("convert", "resume", "refine", "review"), "delivery_level": ("publication-polish",)}, ("artifact-scan", "clean-room-build", "publication-review")),
+    ("publication-repair-gates", {"operation": ("repair",), "delivery_level": ("publication-polish",)}, ("workflow-setup", "build-verification", "final-state-review", "repair-verification", "artifact-scan", "clean-room-build", "publication-review")),
+    ("book-gates", {"operation": ("convert", "resume", "refine", "review"), "traits_any": ("book",)}, ("book-structure-review",)),
+    ("math-gates", {"operation": ("convert", "resume", "refine", "review"), "traits_any": ("math-heavy", "encoded-math")}, ("math-object-review",)),
+    ("durable-math-repair-gates", {"operation": ("repair",), "execution_mode": ("resumable", "goal-backed"), "traits_any": ("math-heavy", "encoded-math")}, ("math-object-review",)),
+    ("publication-math-repair-gates", {"operation": ("repair",), "delivery_level": ("publication-polish",), "traits_any": ("math-heavy", "encoded-math")}, ("math-object-review",)),
 )
 
 CONDITIONS = (*FIELDS[:5], "traits_any", "traits_all")
@@ -111,15 +104,54 @@ def rule_violations(rules: DataFrame) -> DataFrame:
     return own.unionByName(twice)
 
 
+def ordered_differences(actual: DataFrame, expected: DataFrame, keys: list[str], item: str, place: str, values: list[str], chunk: int = ordered.CHUNK) -> DataFrame:
+    """``keys, item, problem, expected_place, actual_place``: how two ordered tables differ.
+
+    Problems are ``missing`` and ``unexpected`` items, ``changed:`` and the fields whose values differ (nulls are values), and ``moved``:
+    an item that isn't at its place among the items that both have, so that a missing one moves no other. Items are unique within a key,
+    and so are places. Both sides are of any size; one key may hold most rows.
+    """
+    sides = {"a": actual, "e": expected}
+    names = {s: [F.col(k) for k in [*keys, item]] + [F.col(place).alias(f"__{s}_place"), F.struct(*values, F.lit(1).alias("__one")).alias(f"__{s}")] for s in sides}
+    a, e = (df.select(*names[s]) for s, df in sides.items())
+    both = settled(a.join(e, [*keys, item], "full_outer"))
+    common = both.where("__a IS NOT NULL AND __e IS NOT NULL").select(*keys, item, "__a_place", "__e_place")
+    ranked = ordered.ordinal(ordered.with_chunk(common, keys, ["__a_place"], chunk, ready=True), keys, ["__a_place"], "__a_rank").drop("__chunk")
+    ranked = ordered.ordinal(ordered.with_chunk(ranked, keys, ["__e_place"], chunk), keys, ["__e_place"], "__e_rank").drop("__chunk")
+    moved = ranked.where("__a_rank <> __e_rank").select(*keys, item, F.lit("moved").alias("problem"), F.col("__e_place").alias("expected_place"), F.col("__a_place").alias("actual_place"))
+    differ = F.array_join(F.array_compact(F.array(*[F.when(~F.col("__a")[v].eqNullSafe(F.col("__e")[v]), F.lit(v)) for v in values])), ",")
+    problem = F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "unexpected").when(differ != "", F.concat(F.lit("changed:"), differ))
+    own = both.select(*keys, item, problem.alias("problem"), F.col("__e_place").alias("expected_place"), F.col("__a_place").alias("actual_place")).where("problem IS NOT NULL")
+    return own.unionByName(moved)
+
+
+def contract_differences(contract: DataFrame, expected: DataFrame) -> DataFrame:
+    """How a rule table differs from the one it should be: rules missing, unexpected, changed or moved."""
+    one = F.lit(0).alias("contract")
+    return ordered_differences(contract.select(one, "*"), expected.select(one, "*"), ["contract"], "rule_id", "rule_no", [*CONDITIONS, "required"]).drop("contract")
+
+
 def matching_rules(contexts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Contexts with each rule that they meet."""
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+    """Contexts with each rule that they meet (its columns begin with ``__``).
+
+    The rules, a bounded number, become bit sets by field value, which the tasks intersect; a context's rules are then joined by their numbers.
+    """
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
         raise ValueError(f"over {MAX_RULES} rules")
-    r = F.broadcast(rules.select(*[F.col(c).alias(f"__{c}") for c in rules.columns]))
-    tests = [F.col(f"__{f}").isNull() | F.array_contains(F.col(f"__{f}"), F.col(f)) for f in FIELDS[:5]]
-    tests.append(F.col("__traits_any").isNull() | F.arrays_overlap("__traits_any", "traits"))
-    tests.append(F.col("__traits_all").isNull() | (F.size(F.array_except("__traits_all", "traits")) == 0))
-    return contexts.join(r, reduce(lambda a, b: a & b, tests))
+    spark, n = contexts.sparkSession, contexts.columns
+    index = RuleIndex(rows, FIELDS[:5]) if rows else None
+
+    def run(batches):
+        for batch in batches:
+            for part, found in index.matching(batch) if index else ():
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*n, "__met"])
+
+    schema = StructType([*contexts.schema.fields, StructField("__met", ArrayType(IntegerType()))])
+    met = contexts.mapInArrow(run, schema).select(*n, F.explode("__met").alias("__at"))
+    numbered = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], StructType([StructField("__no", IntegerType()), *rules.schema.fields]))
+    numbered = numbered.select("__no", *[F.col(c).alias(f"__{c}") for c in rules.columns])
+    return met.join(F.broadcast(numbered), F.col("__at") == F.col("__no")).drop("__at", "__no")
 
 
 def requirements(contexts: DataFrame, rules: DataFrame, key: str = "context_id", name: str = "required") -> DataFrame:

@@ -11,6 +11,7 @@ from ..sources import tables
 from .ledger_queries import NEW_SQL, _new
 from .page_queries import query
 from .rule_queries import CONTEXT_SQL, RECORDED_SQL, _recorded, required_sql
+from .shard_queries import _split
 
 
 @query("text_functions", r"""
@@ -84,14 +85,27 @@ def q_unblocked(spark: SparkSession, d: str) -> DataFrame:
     return rules.unblocked_gates(gates, blockers, ["context_id", "gate"]).select("context_id", "gate")
 
 
-@query("rule_validation", """
-    SELECT * FROM (VALUES ('rule-0', 'operation', 'convert,paint'), ('rule-2', 'nothing-required', ''), ('rule-3', 'traits_any', 'book,odd'), ('rule-0', 'repeated-id', '2')) AS t(entity_key, rule_id, detail)
+PART_RULES = """
+    p_partkey AS k, 'rule-' || CASE WHEN p_partkey % 29 = 0 THEN '0' ELSE CAST(p_partkey AS STRING) END AS id, p_partkey % 7 AS o, p_partkey % 11 AS t, p_partkey % 13 = 0 AS bare
+"""
+
+
+@query("rule_validation", f"""
+    WITH r AS (SELECT {PART_RULES} FROM part)
+    SELECT id AS entity_key, 'operation' AS rule_id, 'convert,paint' AS detail FROM r WHERE o = 1 UNION ALL SELECT id, 'traits_any', 'book,odd' FROM r WHERE t = 0 UNION ALL SELECT id, 'traits_all', 'even' FROM r WHERE t = 2
+    UNION ALL SELECT id, 'nothing-required', '' FROM r WHERE bare UNION ALL SELECT id, 'repeated-id', count(*)::VARCHAR FROM r GROUP BY id HAVING count(*) > 1
 """)
 def q_rules(spark: SparkSession, d: str) -> DataFrame:
-    """A contract's rules of which four are wrong."""
-    rows = [("rule-0", ["convert", "paint"], None, ["a.md"]), ("rule-0", ["resume"], None, ["b.md"]), ("rule-2", None, None, []), ("rule-3", None, ["book", "odd"], ["c.md"])]
-    table = [(no, name, operation, None, None, None, None, traits, None, required) for no, (name, operation, traits, required) in enumerate(rows)]
-    return rules.rule_violations(spark.createDataFrame(table, rules.RULE_SCHEMA)).drop("entity")
+    """Parts as a contract's rules, some of which name what doesn't exist, require nothing, or repeat an id."""
+    text = "array<string>"
+    part = tables.table(spark, d, "part").selectExpr(*_split(PART_RULES))
+    lists = {
+        "operation": "CASE WHEN o = 0 THEN NULL WHEN o = 1 THEN array('convert', 'paint') ELSE array('resume') END", "traits_any": "CASE WHEN t = 0 THEN array('book', 'odd') WHEN t = 1 THEN NULL ELSE array('cjk') END",
+        "traits_all": "CASE WHEN t = 2 THEN array('even') END", "required": "CASE WHEN bare THEN array() ELSE array('a.md') END",
+    }
+    none = {f: "NULL" for f in rules.CONDITIONS if f not in lists}
+    table = part.selectExpr("CAST(k AS INT) AS rule_no", "id AS rule_id", *[f"CAST({e} AS {text}) AS {f}" for f, e in (lists | none).items()])
+    return rules.rule_violations(table.select("rule_no", "rule_id", *rules.CONDITIONS, "required")).drop("entity")
 
 
 TOOLS = ("latexmk", "xelatex", "pdftoppm", "mutool", "pdftotext", "pdfinfo", "pdfseparate", "biber", "bibtex", "makeindex", "makeglossaries")

@@ -113,15 +113,13 @@ def q_plan_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("batch_size_policy", """
-    SELECT * FROM (VALUES ('digital', 'none', 35, 12, 6, 1), ('digital', 'book', 40, 12, 6, 1), ('digital', 'math-heavy', 25, 10, 5, 1), ('digital', 'visual-complex', 35, 8, 4, 1),
-      ('scanned', 'none', 35, 12, 6, 1), ('scanned', 'book', 40, 12, 6, 1), ('scanned', 'math-heavy', 25, 10, 5, 1), ('scanned', 'visual-complex', 35, 8, 4, 1),
-      ('mixed', 'none', 35, 12, 6, 1), ('mixed', 'book', 40, 12, 6, 1), ('mixed', 'math-heavy', 25, 10, 5, 1), ('mixed', 'visual-complex', 35, 8, 4, 1),
-      ('unknown', 'none', 35, 12, 6, 1), ('unknown', 'book', 40, 12, 6, 1), ('unknown', 'math-heavy', 25, 10, 5, 1), ('unknown', 'visual-complex', 35, 8, 4, 1)) AS t(source_kind, trait, low, medium, high, critical)
+    WITH c AS (SELECT c_custkey AS context_id, c_custkey // 4 % 2 = 1 OR c_custkey // 8 % 2 = 1 AS math, c_custkey % 2 = 1 OR c_custkey // 2 % 2 = 1 AS long, c_custkey // 32 % 2 = 1 AS visual FROM customer)
+    SELECT context_id, CASE WHEN math THEN 25 WHEN long THEN 40 ELSE 35 END AS low, CASE WHEN visual THEN 8 WHEN math THEN 10 ELSE 12 END AS medium, CASE WHEN visual THEN 4 WHEN math THEN 5 ELSE 6 END AS high, 1 AS critical FROM c
 """)
 def q_sizes(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(k, t) for k in ("digital", "scanned", "mixed", "unknown") for t in ("none", "book", "math-heavy", "visual-complex")]
-    df = spark.createDataFrame(rows, "source_kind string, trait string")
-    return df.select("source_kind", "trait", *[c.cast("int").alias(k) for k, c in batch_sizes(F.col("source_kind"), F.array("trait")).items()])
+    """The batch sizes of every customer's kind of source and traits."""
+    contexts = tables.contexts(spark, d)
+    return contexts.select("context_id", *[c.cast("int").alias(k) for k, c in batch_sizes(F.col("source_kind"), F.col("traits")).items()])
 
 
 @query("page_ranges", f"""

@@ -6,7 +6,9 @@ Every reader takes paths or globs in any store that Spark reads, and explicit sc
 from __future__ import annotations
 
 import json
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,19 +130,36 @@ def auxiliary_inputs(lines: DataFrame) -> DataFrame:
     return lines.select("path", F.regexp_replace(F.trim(value), "^['\"]+|['\"]+$", "").alias("value")).where("value is not null and value <> ''").distinct()
 
 
-def resolve_inputs(values: DataFrame, present: DataFrame, project: str) -> DataFrame:
-    """Where named files are: beside the log, in the project, or in a table of looked-up names (``name, found``); the first that is there."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    rows = values.withColumn("__log", F.concat_ws("/", folder, F.col("value"))).withColumn("__project", F.concat_ws("/", F.lit(project.rstrip("/")), F.col("value")))
-    there = present.select(F.col("path").alias("__p")).distinct()
-    a = rows.join(there.withColumnRenamed("__p", "__a"), F.col("__log") == F.col("__a"), "left").join(there.withColumnRenamed("__p", "__b"), F.col("__project") == F.col("__b"), "left")
-    return a.select("path", "value", F.when(F.col("value").startswith("/"), F.col("value")).otherwise(F.coalesce("__a", "__b", "__project")).alias("resolved"))
+#: Stands for the folder of the file that names another.
+BESIDE = ""
 
 
-def parse_pgm(data: bytes) -> tuple[list[int] | None, int | None, str | None]:
-    """Samples, maximum and error of a P2 or P5 image; two bytes a sample are big-endian."""
-    import re
+def resolve_inputs(values: DataFrame, present: DataFrame, project: str, roots: list[str] | None = None, lookups: DataFrame | None = None) -> DataFrame:
+    """``path, value, resolved, found_in``: where the files are that ``values (path, value)`` name.
 
+    Tried in order: the ``roots`` (``BESIDE`` is the folder of ``path``; by default that and the project), then ``lookups (name, found)``, a table of
+    names that a search has found; the first that is there. Absolute names are taken as they are. A name that is nowhere is the project's, with null in ``found_in``.
+    All places are tried by one join; any number of roots makes no further one.
+    """
+    roots = [BESIDE, project] if roots is None else roots
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    under = lambda r: tx.normal_path(F.concat_ws("/", folder if r == BESIDE else F.lit(r.rstrip("/")), F.col("value")))
+    tries = [F.struct(F.lit(i).alias("rank"), F.lit("file").alias("kind"), under(r).alias("name"), F.lit("beside" if r == BESIDE else r).alias("root")) for i, r in enumerate(roots)]
+    tries.append(F.struct(F.lit(len(roots)).alias("rank"), F.lit("name").alias("kind"), F.col("value").alias("name"), F.lit("lookup").alias("root")))
+    named = values.select("path", "value").distinct()
+    relative = named.where(~F.col("value").startswith("/"))
+    there = present.select(F.lit("file").alias("kind"), F.col("path").alias("name"), F.col("path").alias("found")).distinct()
+    if lookups is not None:
+        there = there.unionByName(lookups.groupBy("name").agg(F.min("found").alias("found")).select(F.lit("name").alias("kind"), "name", "found"))
+    asked = relative.select("path", "value", F.explode(F.array(*tries)).alias("t")).select("path", "value", "t.*")
+    hit = asked.join(there, ["kind", "name"]).groupBy("path", "value").agg(F.min(F.struct("rank", "found", "root")).alias("best"))
+    out = named.join(hit, ["path", "value"], "left")
+    whole = F.col("value").startswith("/")
+    return out.select("path", "value", F.when(whole, tx.normal_path(F.col("value"))).otherwise(F.coalesce("best.found", under(project))).alias("resolved"), F.when(whole, "absolute").otherwise(F.col("best.root")).alias("found_in"))
+
+
+def parse_pgm(data: bytes) -> tuple[np.ndarray | None, int | None, str | None]:
+    """Samples, maximum and error of a P2 or P5 image; two bytes a sample are big-endian."""
     blank = rb"(?:[ \t\r\n]|#[^\n]*(?:\n|\Z))*"
     head = re.match(blank + rb"(P[25])" + (rb"[ \t\r\n]" + blank + rb"(\d+)(?=[ \t\r\n])") * 3, data)
     if not head:
@@ -153,14 +172,12 @@ def parse_pgm(data: bytes) -> tuple[list[int] | None, int | None, str | None]:
         words = re.sub(rb"#[^\n]*", b"", body).split()[:n]
         if len(words) < n or not all(w.isdigit() for w in words):
             return None, None, "samples"
-        return list(map(int, words)), top, None
+        return np.array(words, np.int64).astype(np.int32), top, None
     body = body[2 if body[:2] == b"\r\n" else 1 :]
     wide = 1 if top < 256 else 2
     if len(body) < n * wide:
         return None, None, "truncated"
-    import numpy as np
-
-    return np.frombuffer(body[: n * wide], ">u2" if wide == 2 else "u1").tolist(), top, None
+    return np.frombuffer(body[: n * wide], ">u2" if wide == 2 else "u1").astype(np.int32), top, None
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
@@ -168,8 +185,10 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [parse_pgm(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())], ["path", "samples", "maximum", "error"])
+            for k in range(batch.num_rows):  # an image at a time: a batch may hold thousands
+                samples, top, error = parse_pgm(batch.column(1)[k].as_py())
+                own = pa.array([None], pa.list_(pa.int32())) if samples is None else pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], own, pa.array([top], pa.int32()), pa.array([error], pa.string())], ["path", "samples", "maximum", "error"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, samples array<int>, maximum int, error string")
 
