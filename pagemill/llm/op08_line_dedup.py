@@ -129,8 +129,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = recurring_lines(docs, id_col=id_col, text_col=text_col, **parameters)
     per_doc = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__drop"))
     both = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col("__key")), "left").withColumn("__lines", F.split(F.coalesce(text_col, F.lit("")), "\n"))
-    gone = F.coalesce("__drop", F.array().cast("array<int>"))
-    kept = F.filter("__lines", lambda line, i: ~F.array_contains(gone, i))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    both = both.withColumn("__text", text).withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.size(gone).cast("long"))
+    # the places that stay come from one pass over sets: a text may have millions of lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
+    both = both.withColumn("__text", text).withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.size(F.coalesce("__drop", F.array().cast("array<int>"))).cast("long"))
     return both.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "n_lines", "n_dropped")

@@ -81,6 +81,15 @@ def test_two_documents_and_short_lines(spark):
     assert {r["doc_id"]: r["text"] for r in drop_recurring_lines(docs).collect()} == {1: "\nown words", 2: "\nother", 3: "alone\nalone"}
 
 
+def test_a_text_of_very_many_lines(spark):
+    """Linear in a text's lines: half of 80,000 stand in another text too."""
+    n = 80_000
+    texts = [(1, "\n".join(f"own{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}" for i in range(n))), (2, "\n".join(f"own{chr(97 + i % 26)} x{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}" for i in range(0, n, 2)))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], len(r["text"])) for r in drop_recurring_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1][:2] == (n, n // 2) and got[2] == (n // 2, n // 2, 0)
+    assert got[1][2] == sum(len(x) for x in texts[0][1].split("\n")[1::2]) + n // 2 - 1
+
+
 def test_empty_table(no_docs):
     assert drop_recurring_lines(no_docs).count() == 0
 
