@@ -16,7 +16,11 @@ and use the text only.
 
 Cases: null and empty texts have no words and get the score of the intercept; without
 positives every score is 0; a null label is no label; a doc_id with several labels is toxic if
-one says so; an empty table gives an empty result; other columns are ignored.
+one says so; rows that repeat a doc_id are scored each by its text, and one of them is in the sample (that with the
+least set of features); a row with a null doc_id is scored and in no sample. Texts of any length are scored whole, in slices of
+4 MB or of a longer text; one task holds some 60 bytes for each of their bytes. Ties: documents with one hash are ordered by doc_id,
+features that stand out alike by their number, thresholds that err alike by how near they are to the model's own. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import ALNUM, LOWER, Words, flat, mix, slices
+from .session import cut
 
 BITS = 22
 #: Lengths in bytes of the word beginnings that are features beside whole words.
@@ -65,19 +70,19 @@ def text_words(column: pa.Array):
         yield i, j, np.unique(f >> np.uint64(32) << np.uint64(BITS) | (f & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS))
 
 
-def word_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``words binary``: each text's distinct feature numbers as unsigned 32-bit integers."""
+def word_sets(rows: DataFrame) -> DataFrame:
+    """``doc_id, kind, words binary`` of ``doc_id, text, kind``: each text's distinct feature numbers as unsigned 32-bit integers, 2**22 at most."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, j, pair in text_words(batch.column(0)):
+            for i, j, pair in text_words(batch.column(1)):
                 text, word = (pair >> np.uint64(BITS)).astype(np.int64), (pair & np.uint64((1 << BITS) - 1)).astype("<u4")
                 edge = np.searchsorted(text, np.arange(j - i + 1))
                 out += [word[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "kind", "words"])
 
-    return docs.select(text_col).mapInArrow(run, "words binary")
+    return rows.select("doc_id", "text", "kind").mapInArrow(run, "doc_id long, kind int, words binary")
 
 
 class Model:
@@ -167,19 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
     order = F.xxhash64("doc_id")
     positive = marked.where("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(max_positive)
-    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    # twice as many, as rows may repeat
-    other = other.orderBy(order, "doc_id").limit(2 * max_unlabelled).distinct().orderBy(order, "doc_id").limit(max_unlabelled)
-
-    def sets(ids: DataFrame) -> list[np.ndarray]:
-        rows = word_sets(docs.join(F.broadcast(ids), "doc_id", "left_semi")).toArrow()
-        return [np.frombuffer(x.as_py(), "<u4") for x in rows.column("words")]
-
-    toxic_sets = sets(positive)
-    model = train(toxic_sets, sets(other), toxic / n if n else 0.0)
     clean = marked.where("toxic = 0").select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled)
+    other = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    other = other.groupBy("doc_id").count().orderBy(order, "doc_id").limit(max_unlabelled)
+    kinds = (positive.withColumn("kind", F.lit(1)), other.select("doc_id", F.lit(2).alias("kind")), clean.withColumn("kind", F.lit(4)))
+    ids = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id").agg(F.bit_or("kind").alias("kind"))
+    # one reading of the texts for all three samples; of rows that repeat a doc_id the least set counts
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(ids)), "doc_id")
+    rows = word_sets(text).groupBy("doc_id", "kind").agg(F.min("words").alias("words")).withColumn("order", F.xxhash64("doc_id")).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    kind = rows.column("kind").to_numpy()
+    sample = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("words")]
+    toxic_sets, other_sets, clean_sets = ([s for s, k in zip(sample, kind, strict=True) if k & which] for which in (1, 2, 4))
+    model = train(toxic_sets, other_sets, toxic / n if n else 0.0)
     # errors are weighed as the labels have them
-    clean_sets = sets(clean)
     if toxic and len(toxic_sets):
         clean_sets = clean_sets[: max(1, round(len(toxic_sets) * (n - toxic) / toxic))]
         toxic_sets = toxic_sets[: max(1, round(len(clean_sets) * toxic / max(1, n - toxic)))]
