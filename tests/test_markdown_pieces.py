@@ -78,3 +78,21 @@ def test_a_fence_over_many_pieces(spark):
     df = spark.createDataFrame([("f", text)], "path string, text string")
     got = sorted((r["line_no"], r["line"]) for r in active_lines(cut(df, 3), 4).collect())
     assert got == sorted(markdown.active_lines(text)) and got[0] == (1, "a") and got[-1][1].endswith(" c")
+
+
+def test_query_against_whole_files(spark):
+    """The query's files are made a second time in Python and read as a whole."""
+    from binascii import crc32
+    from hashlib import sha256
+
+    from pagemill.plans import registry
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        path = f"{r['doc_id']}-{sha256(r['text'].encode()).hexdigest()[:8]}"
+        kind, text = crc32(path.encode()) % 4, r["text"]
+        text = "~~~~\n" + text.replace("\n", "\n~~~\n") if kind == 0 else "<!-- " + text.replace(". ", " -->\n<!--") if kind == 1 else text
+        lines = list(markdown.active_lines(text))
+        if lines:
+            want[path] = (len(lines), sum(n for n, _ in lines), sum(crc32(x.encode()) for _, x in lines))
+    assert {r["path"]: (r["lines"], r["line_nos"], r["crc"]) for r in registry.QUERIES["markdown_pieces"](spark, sf).collect()} == want
