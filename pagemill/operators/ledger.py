@@ -149,17 +149,19 @@ def match_ledger(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return both.withColumn("action", F.when(F.col("__there").isNull(), "add").when(same, "skip").otherwise("conflict")).drop("__old", "__there")
 
 
-def merge_violations(new: DataFrame, ledger: DataFrame) -> DataFrame:
+def merge_violations(new: DataFrame, ledger: DataFrame, touched: bool = False) -> DataFrame:
     """What forbids a merge of ``new`` (batch_id, shard_sha256, owned_pages) into ``ledger``.
 
     Where both tables have them, all batches must also agree in the source's identity (``source_sha256``, null is a
-    value) and in each snapshot (``style_profile_sha256, document_ir_sha256``, nulls aside).
+    value) and in each snapshot (``style_profile_sha256, document_ir_sha256``, nulls aside). With ``touched``, only pages that new
+    batches own are looked at in the ledger: faults that it already has aren't told again.
     """
     matched = match_ledger(new, ledger)
     conflict = matched.where("action = 'conflict'").select(F.lit("batch").alias("entity"), F.col("batch_id").cast("string").alias("entity_key"), F.lit("content-conflict").alias("rule_id"), F.lit("").alias("detail"))
     repeated = duplicate_keys(new, ["batch_id"]).select(F.lit("batch").alias("entity"), F.col("batch_id").cast("string").alias("entity_key"), F.lit("repeated-batch").alias("rule_id"), F.col("n").cast("string").alias("detail"))
     own = matched.where("action = 'add'").select("batch_id", F.explode("owned_pages").alias("page"))
-    owned = ledger.select("batch_id", F.explode("owned_pages").alias("page")).unionByName(own)
+    before = ledger.select("batch_id", F.explode("owned_pages").alias("page"))
+    owned = (before.join(own.select("page"), "page", "left_semi").select("batch_id", "page") if touched else before).unionByName(own)
     twice = ownership_conflicts(owned).select(F.lit("page").alias("entity"), F.col("page").cast("string").alias("entity_key"), F.lit("owned-twice").alias("rule_id"), F.concat_ws(",", F.col("first_batch").cast("string"), F.col("last_batch").cast("string")).alias("detail"))
     parts = [conflict, repeated, twice]
     every = [f for f in ("source_sha256", "style_profile_sha256", "document_ir_sha256") if f in new.columns and f in ledger.columns]

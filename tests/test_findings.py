@@ -196,4 +196,4 @@ def test_markdown_scanner_against_line_by_line():
 def test_markdown_fence_behind_a_comment():
     assert list(markdown.active_lines("<!-- x --> ~~~ a\n### no\n~~~\n### yes")) == [(4, "### yes")]
     # the span that the fence's line opens is still open behind the fence
-    assert list(markdown.active_lines("<!-- x --> ~~~ `a\n~~~\nno` yes")) == [(3, "    yes")]
+    assert list(markdown.active_lines("<!-- x --> ~~~ `a\n~~~\nn` yes")) == [(3, "   yes")]

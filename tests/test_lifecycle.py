@@ -11,7 +11,7 @@ NAMES = [*[s for s in STATES if s], "odd", None]
 
 
 def walk(events):
-    """(key, seq, from, to, outcome) of each event, one after another."""
+    """(key, seq, from, to, outcome) of each event, one after another; of statuses with one number nulls come first."""
     out, now = [], {}
     for key, seq, status in sorted(events, key=lambda e: (str(e[0]), e[1], e[2] is not None, e[2] or "")):
         came = now.get(key)
@@ -32,15 +32,10 @@ def test_batch_against_a_walk(spark, chunk):
     events = [(rng.choice([1, 2, 3, None]), i, rng.choice(NAMES)) for i in range(300)] + [(9, 5, "pending"), (9, 5, "in-progress"), (9, 6, "rebuilt")]
     df = spark.createDataFrame(events, "k int, seq long, status string").repartition(4)
     got = [tuple(r) for r in replay(df, "k", "seq", chunk=chunk).collect()]
-    assert order(got) == order([(k, s, f, t, w) for k, s, f, t, w in walk_of_chunks(events)])
+    assert order(got) == order(walk(events))
     assert replay(df.limit(0), "k", "seq").collect() == []
 
 
-def walk_of_chunks(events):
-    """Nulls first among statuses of one number, as arrays are sorted."""
-    return walk(events)
-
-
 def test_transitions_are_closed():
     assert {s for to in TRANSITIONS.values() for s in to} == {s for s in STATES if s}
     assert outcome(None, "rebuilt") == "illegal" and outcome("rebuilt", "reviewed") == "applied" and outcome("blocked", "blocked") == "repeated" and outcome(None, None) == "illegal"
