@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby, islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,43 +123,61 @@ def functions(pieces: DataFrame) -> DataFrame:
 
 
 ENTRY = "path string, part long, first_line long, state string"
+#: Small rows that leave a task in one batch.
+ROWS = 4096
 
 
-def _entries(rows: DataFrame, keys: list[str], start: bool) -> DataFrame:
-    """Entry states of parts (``part, f``) that are gone through in order; ``start``: from the beginning, else from the state that rows bring along.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
-    The state after the last part is the row with part -1.
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _compose(fs: DataFrame) -> DataFrame:
+    """``path, part, f``: the functions of each group's pieces as one. Groups lie sorted in their partitions and are read row by row."""
+    schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("f", pa.string())])
+
+    def go(batches):
+        for (path, part), own in groupby(_rows(batches), key=lambda r: r[:2]):
+            yield path, part, json.dumps(reduce(composed, (json.loads(r[3]) for r in own)))
+
+    dealt = fs.select("path", "__group", "piece", "f").repartition("path", "__group").sortWithinPartitions("path", "__group", "piece")
+    return dealt.mapInArrow(lambda batches: _batches(go(batches), schema), "path string, part long, f string")
+
+
+def _entries(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry states of parts (``path, part, f``) that are gone through in order, from the beginning or from the ``first_line, state`` that rows of a group bring along.
+
+    The state after a key's last part is the row with part -1. Nothing is gathered: a key's rows pass by, sorted.
     """
+    schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("first_line", pa.int64()), ("state", pa.string())])
+    n = len(keys)
 
-    def go(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("part")
-        state = START if start else tuple(json.loads(own["state"].iloc[0]))
-        line = 1 if start else int(own["first_line"].iloc[0])
-        out = []
-        for part, f in zip(own["part"], own["f"], strict=True):
-            out.append((own["path"].iloc[0], part, line, json.dumps(state)))
-            f = json.loads(f)
-            state, line = after(f, state), line + f["lines"]
-        return pd.DataFrame([*out, (own["path"].iloc[0], -1, line, json.dumps(state))], columns=["path", "part", "first_line", "state"])
+    def go(batches):
+        for key, own in groupby(_rows(batches), key=lambda r: r[:n]):
+            state, line = START, 1
+            for k, (part, f, *begin) in enumerate(r[n:] for r in own):
+                if begin and not k:
+                    line, state = begin[0], tuple(json.loads(begin[1]))
+                yield key[0], part, line, json.dumps(state)
+                f = json.loads(f)
+                state, line = after(f, state), line + f["lines"]
+            yield key[0], -1, line, json.dumps(state)
 
-    return rows.groupBy(*keys).applyInPandas(go, ENTRY)
+    columns = [*keys, "part", "f", *[c for c in ("first_line", "state") if c in rows.columns]]
+    return rows.select(columns).repartition(*keys).sortWithinPartitions(*keys, "part").mapInArrow(lambda batches: _batches(go(batches), schema), ENTRY)
 
 
 def entry_states(pieces: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """``path, piece, first_line, state`` of every piece, and ``path, state`` at the end of each file."""
     fs = settled(functions(pieces).withColumn("__group", F.floor(F.col("piece") / group).cast("long")))
-
-    def compose(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("piece")
-        whole = None
-        for f in own["f"]:
-            whole = json.loads(f) if whole is None else composed(whole, json.loads(f))
-        return pd.DataFrame([(own["path"].iloc[0], own["__group"].iloc[0], json.dumps(whole))], columns=["path", "part", "f"])
-
-    groups = fs.groupBy("path", "__group").applyInPandas(compose, "path string, part long, f string")
-    at_groups = settled(_entries(groups, ["path"], start=True))
+    at_groups = settled(_entries(_compose(fs), ["path"]))
     inside = fs.join(at_groups.withColumnRenamed("part", "__group"), ["path", "__group"]).select("path", "__group", F.col("piece").alias("part"), "f", "first_line", "state")
-    at_pieces = _entries(inside, ["path", "__group"], start=False).where("part >= 0")
+    at_pieces = _entries(inside, ["path", "__group"]).where("part >= 0")
     return at_pieces.withColumnRenamed("part", "piece"), at_groups.where("part = -1").select("path", "state")
 
 
