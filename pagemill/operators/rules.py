@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from . import ordered
@@ -131,14 +132,19 @@ def contract_differences(contract: DataFrame, expected: DataFrame) -> DataFrame:
     return ordered_differences(contract.select(one, "*"), expected.select(one, "*"), ["contract"], "rule_id", "rule_no", [*CONDITIONS, "required"]).drop("contract")
 
 
+def _bounded(rules: DataFrame) -> list[Row]:
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules")
+    return rows
+
+
 def matching_rules(contexts: DataFrame, rules: DataFrame) -> DataFrame:
     """Contexts with each rule that they meet (its columns begin with ``__``).
 
     The rules, a bounded number, become bit sets by field value, which the tasks intersect; a context's rules are then joined by their numbers.
     """
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules")
+    rows = _bounded(rules)
     spark, n = contexts.sparkSession, contexts.columns
     index = RuleIndex(rows, FIELDS[:5]) if rows else None
 
@@ -154,10 +160,46 @@ def matching_rules(contexts: DataFrame, rules: DataFrame) -> DataFrame:
     return met.join(F.broadcast(numbered), F.col("__at") == F.col("__no")).drop("__at", "__no")
 
 
+def _first_places(contexts: DataFrame, rules: DataFrame, key: str, name: str) -> DataFrame:
+    """``key, name, place``: what each row's rules require, each once, with the first place; no row is looked at with others."""
+    rows = _bounded(rules)
+    asked = sorted((r["rule_no"], i, no, x) for no, r in enumerate(rows) for i, x in enumerate(r["required"] or ()))
+    places = pa.array([{"rule_no": r, "item_no": i} for r, i, _, _ in asked], pa.struct([("rule_no", pa.int32()), ("item_no", pa.int32())]))
+    kinds = {x: k for k, x in enumerate(dict.fromkeys(x for *_, x in asked))}
+    names, kind = pa.array(list(kinds), pa.string()), np.array([kinds[x] for *_, x in asked], np.int64)
+    of_rule = [[] for _ in rows]
+    for e, (_, _, no, _) in enumerate(asked):
+        of_rule[no].append(e)
+    of_rule = [np.array(e, np.int64) for e in of_rule]
+    size = np.array([len(e) for e in of_rule], np.int64)
+    index = RuleIndex(rows, FIELDS[:5]) if rows else None
+
+    def run(batches):
+        for batch in batches:
+            for part, found in index.matching(batch) if asked else ():
+                rule = found.values.to_numpy()
+                if not len(rule):
+                    continue
+                row = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
+                entry = np.concatenate([of_rule[r] for r in rule])
+                # entries are numbered by their places, so the least one of a row and name is the first
+                pair = np.repeat(row, size[rule]) * len(names) + kind[entry]
+                order = np.lexsort((entry, pair))
+                first = order[np.flatnonzero(np.diff(pair[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(pair[first] // len(names))), names.take(pa.array(kind[entry[first]])), places.take(pa.array(entry[first]))], [key, name, "place"])
+
+    place = StructType([StructField("rule_no", IntegerType()), StructField("item_no", IntegerType())])
+    return contexts.mapInArrow(run, StructType([contexts.schema[key], StructField(name, StringType()), StructField("place", place)]))
+
+
 def requirements(contexts: DataFrame, rules: DataFrame, key: str = "context_id", name: str = "required") -> DataFrame:
-    """What each context's rules require, each once, with its place (the first rule that asks for it, and where there)."""
-    rows = matching_rules(contexts, rules).select(key, F.col("__rule_no").alias("rule_no"), F.posexplode("__required").alias("item_no", name))
-    return rows.groupBy(key, name).agg(F.min(F.struct("rule_no", "item_no")).alias("place"))
+    """What each context's rules require, each once, with its place (the first rule that asks for it, and where there).
+
+    A context is mostly one row, whose requirements need no other row; only those of contexts with several rows are grouped.
+    """
+    keyed = contexts.withColumn("__rows", F.count("*").over(Window.partitionBy(key)))
+    one, several = (_first_places(keyed.where(test).drop("__rows"), rules, key, name) for test in ("__rows = 1", "__rows > 1"))
+    return one.unionByName(several.groupBy(key, name).agg(F.min("place").alias("place")))
 
 
 def requirement_lists(contexts: DataFrame, rules: DataFrame, key: str = "context_id") -> DataFrame:

@@ -89,3 +89,18 @@ def test_hosts(spark):
     assert {r["host"]: (r["compile"], r["render"], r["bibliography"]) for r in cap.collect()} == {"a": ("full", "mutool", ["biber"]), "b": ("simple-only", "unavailable", ["unavailable"]), "c": ("unavailable", "unavailable", ["unavailable"])}
     lacks = lambda level: {r["host"]: r["failures"] for r in rules.capability_failures(cap, level).collect()}
     assert lacks("publication")["a"] == [] and lacks("core")["b"] == ["pdfinfo", "pdftoppm or mutool"] and lacks("none")["c"] == []
+
+
+def test_requirements_need_no_group_of_all_rows(spark):
+    from pagemill.sources import tables
+
+    contexts, table = tables.contexts(spark, "/root/testdata/sf0.001"), rules.rule_table(spark, rules.FILE_RULES)
+    found = rules.requirements(contexts, table)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # every requirement of every rule as a row to be sorted
+    once = sorted((r["context_id"], r["required"], tuple(r["place"])) for r in found.collect())
+    assert once
+    # contexts in several rows are one context; a null key is one too
+    twice = contexts.unionByName(contexts).unionByName(contexts.limit(1).withColumn("context_id", F.lit(None).cast("long")))
+    again = rules.requirements(twice, table).where("context_id is not null")
+    assert sorted((r["context_id"], r["required"], tuple(r["place"])) for r in again.collect()) == once
+    assert rules.requirements(contexts, table.limit(0)).collect() == []
