@@ -162,13 +162,15 @@ def merge_violations(new: DataFrame, ledger: DataFrame, touched: bool = False) -
     own = matched.where("action = 'add'").select("batch_id", F.explode("owned_pages").alias("page"))
     before = ledger.select("batch_id", F.explode("owned_pages").alias("page"))
     owned = (before.join(own.select("page"), "page", "left_semi").select("batch_id", "page") if touched else before).unionByName(own)
-    twice = ownership_conflicts(owned).select(F.lit("page").alias("entity"), F.col("page").cast("string").alias("entity_key"), F.lit("owned-twice").alias("rule_id"), F.concat_ws(",", F.col("first_batch").cast("string"), F.col("last_batch").cast("string")).alias("detail"))
+    # two batches are one of least and one of greatest number: nothing is kept for each batch of a page, as it would be to count them
+    twice = owned.groupBy("page").agg(F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")).where("first_batch < last_batch")
+    twice = twice.select(F.lit("page").alias("entity"), F.col("page").cast("string").alias("entity_key"), F.lit("owned-twice").alias("rule_id"), F.concat_ws(",", F.col("first_batch").cast("string"), F.col("last_batch").cast("string")).alias("detail"))
     parts = [conflict, repeated, twice]
     every = [f for f in ("source_sha256", "style_profile_sha256", "document_ir_sha256") if f in new.columns and f in ledger.columns]
     for field in every:
         rows = ledger.select(field).unionByName(new.select(field))
         value = F.coalesce(field, F.lit("none")) if field == "source_sha256" else F.col(field)
-        unlike = rows.agg(F.count_distinct(value).alias("n"), F.min(value).alias("first"), F.max(value).alias("last")).where("n > 1")
+        unlike = rows.agg(F.min(value).alias("first"), F.max(value).alias("last")).where("first < last")
         parts.append(unlike.select(F.lit("ledger").alias("entity"), F.lit(field).alias("entity_key"), F.lit("identity-conflict" if field == "source_sha256" else "snapshot-conflict").alias("rule_id"), F.concat_ws(",", "first", "last").alias("detail")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -169,3 +169,10 @@ def test_artifacts_conflicts_and_invalidation(spark):
     assert [tuple(r) for r in ledger.only_candidate(names, ["k"], "path").collect()] == [("m", "z")]
     assert [r["path"] for r in ledger.folder_order(names, deepest_first=True).collect()] == ["p/q/r", "p", "z"]
     assert sorted(r["path"] for r in ledger.listed(names, ["k"], "path").collect()) == ["p, p/q/r", "z"]
+
+
+def test_owners_of_a_page_are_not_counted(spark):
+    df = spark.createDataFrame([(1, "a", [1, 2]), (2, "b", [2]), (2, "b", [2])], "batch_id long, shard_sha256 string, owned_pages array<int>")
+    found = ledger.merge_violations(df, df.limit(0))
+    assert sorted((r["entity_key"], r["rule_id"], r["detail"]) for r in found.collect()) == [("2", "owned-twice", "1,2"), ("2", "repeated-batch", "2")]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()  # all batches of a page, or values of a column, in memory
