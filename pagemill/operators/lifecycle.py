@@ -56,18 +56,12 @@ def composed(functions: Column) -> Column:
 
 
 def _entered(wholes: DataFrame, key: str) -> DataFrame:
-    """``key, __chunk, enter``: the status before each chunk. A key has a small row for each chunk, and these are gone through in order."""
-
-    def go(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("__chunk")
-        at, enter = 0, []
-        for f in own["whole"]:
-            enter.append(at)
-            at = int(f[at])
-        return own[[key, "__chunk"]].assign(enter=enter)
-
-    kind = wholes.schema[key].dataType.simpleString()
-    return wholes.groupBy(key).applyInPandas(go, f"`{key}` {kind}, __chunk long, enter int")
+    """``key, __chunk, enter``: the status before each chunk. A key has a small row for each chunk, mostly one, and these are gone through in order."""
+    own = wholes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__chunk", "whole"))).alias("w"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("came"))
+    came = F.aggregate("w", start, lambda a, x: F.struct(F.get(x["whole"], a["at"]).alias("at"), F.concat(a["came"], F.array(a["at"])).alias("came")))["came"]
+    both = own.select(key, "w", came.alias("came")).select(key, F.explode(F.arrays_zip("w", "came")).alias("x"))
+    return both.select(key, F.col("x.w.__chunk").alias("__chunk"), F.col("x.came").alias("enter"))
 
 
 def replay(events: DataFrame, key: str, order: str, status: str = "status", chunk: int = 4096) -> DataFrame:

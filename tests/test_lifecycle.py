@@ -94,3 +94,9 @@ def test_stale_pages_are_told_by_a_timer(rocks, tmp_path):
         assert rows.count(("a", "stale")) == 1 and ("b", "stale") not in rows
     finally:
         q.stop()
+
+
+def test_keys_are_no_groups_of_pandas(spark):
+    df = spark.createDataFrame([("a", 1, "pending"), ("b", 1, "in-progress")], "page string, seq int, status string")
+    plan = lifecycle.replay(df, "page", "seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan  # a call of Python for each key
