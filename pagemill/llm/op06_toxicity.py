@@ -85,6 +85,18 @@ def word_sets(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "kind").mapInArrow(run, "doc_id long, kind int, words binary")
 
 
+def views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column, without copies of them."""
+    out = []
+    for chunk in column.chunks:
+        if len(chunk):
+            _, off, data = chunk.buffers()
+            off = np.frombuffer(off, "<i4")[chunk.offset : chunk.offset + len(chunk) + 1] >> 2
+            data = np.frombuffer(data, "<u4", count=int(off[-1])) if off[-1] else np.zeros(0, "<u4")
+            out += [data[a:b] for a, b in zip(off, off[1:])]
+    return out
+
+
 class Model:
     """Weights of the chosen words and the intercept."""
 
@@ -101,20 +113,28 @@ class Model:
 def choose_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words: int, least: int = 3) -> np.ndarray:
     """The words whose share among the positives stands out most, by a two-sample z score."""
     def share(sets):
-        return np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << BITS) if sets else np.zeros(1 << BITS)
+        out = np.zeros(1 << BITS, np.int32)
+        for s in sets:  # a text's words are distinct
+            out[s] += 1
+        return out
+
     p, u = share(positive), share(unlabelled)
     n_p, n_u = len(positive), max(1, len(unlabelled))
+    words = np.flatnonzero(p >= least)
+    p, u = p[words], u[words]
     pool = (p + u + 1) / (n_p + n_u + 2)
     z = (p / n_p - u / n_u) / np.sqrt(pool * (1 - pool) * (1 / n_p + 1 / n_u))
-    z[(p < least) | (z < 5)] = 0
+    z[z < 5] = 0
     best = np.argsort(-z, kind="stable")[:n_words]
-    return best[z[best] > 0]
+    return words[best[z[best] > 0]]
 
 
 def matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    place = np.full(1 << BITS, -1, np.int64)
+    """A row for each text: 1 for each of the words that it has, and in a last column for the intercept."""
+    place = np.full(1 << BITS, -1, np.int32)
     place[words] = np.arange(len(words))
-    x = np.zeros((len(sets), len(words)), np.float32)
+    x = np.zeros((len(sets), len(words) + 1), np.float32)
+    x[:, -1] = 1
     for i, s in enumerate(sets):
         at = place[s]
         x[i, at[at >= 0]] = 1
@@ -130,8 +150,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     w, rng = np.zeros(len(words) + 1), np.random.default_rng(seed)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)])
-    x_p, x_u = add(x_p), add(x_u)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     size = 2048
     for _ in range(epochs):
@@ -179,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     ids = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id").agg(F.bit_or("kind").alias("kind"))
     # one reading of the texts for all three samples; of rows that repeat a doc_id the least set counts
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(ids)), "doc_id")
-    rows = word_sets(text).groupBy("doc_id", "kind").agg(F.min("words").alias("words")).withColumn("order", F.xxhash64("doc_id")).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
-    kind = rows.column("kind").to_numpy()
-    sample = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("words")]
+    rows = word_sets(text).groupBy("doc_id", "kind").agg(F.min("words").alias("words")).withColumn("order", F.xxhash64("doc_id")).toArrow()
+    at = np.lexsort([rows.column(c).to_numpy() for c in ("doc_id", "order")])
+    sets = views(rows.column("words"))
+    kind, sample = rows.column("kind").to_numpy()[at], [sets[i] for i in at]
     toxic_sets, other_sets, clean_sets = ([s for s, k in zip(sample, kind, strict=True) if k & which] for which in (1, 2, 4))
     model = train(toxic_sets, other_sets, toxic / n if n else 0.0)
     # errors are weighed as the labels have them

@@ -133,3 +133,15 @@ def test_long_text(spark, corpus):
     docs = spark.createDataFrame([*rows, (5000, "river stone " * 400_000 + "zarfle grommet zarfle"), (5001, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in toxicity(docs, marks).where("doc_id >= 5000").collect()}
     assert 0 <= got[5001] < got[5000] <= 1
+
+
+def test_choosing_words_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 22, 2000).astype(np.uint32)) for _ in range(1000)]
+    tracemalloc.start()
+    choose_words(sets[:500], sets[500:], 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # an array of all feature numbers in floats is 32 MB, and several were held
