@@ -118,8 +118,12 @@ def choose_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_wor
             out[s] += 1
         return out
 
-    p, u = share(positive), share(unlabelled)
-    n_p, n_u = len(positive), max(1, len(unlabelled))
+    return choose(share(positive), share(unlabelled), len(positive), len(unlabelled), n_words, least)
+
+
+def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, n_words: int, least: int = 3) -> np.ndarray:
+    """As ``choose_words``, from how many of the ``n_p`` positives and ``n_u`` unlabelled texts have each word."""
+    n_u = max(1, n_u)
     words = np.flatnonzero(p >= least)
     p, u = p[words], u[words]
     pool = (p + u + 1) / (n_p + n_u + 2)
@@ -129,11 +133,35 @@ def choose_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_wor
     return words[best[z[best] > 0]]
 
 
+def shares(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """How many positives and unlabelled texts of ``sample (kind, words)`` have each word, and how many texts these are; the driver holds one partition's sets at a time."""
+    out, n = {1: np.zeros(1 << BITS, np.int32), 2: np.zeros(1 << BITS, np.int32)}, {1: 0, 2: 0}
+    for kind, words in sample.select("kind", "words").where("kind & 3 > 0").toLocalIterator():
+        for k in out:
+            if kind & k:
+                out[k][np.frombuffer(words, "<u4")] += 1
+                n[k] += 1
+    return out[1], out[2], n[1], n[2]
+
+
+def only(sample: DataFrame, words: np.ndarray) -> DataFrame:
+    """``doc_id, kind, words`` of the sample with the chosen words alone."""
+    chosen = np.sort(words).astype("<u4")
+
+    def run(batches):
+        for batch in batches:
+            sets = views(pa.chunked_array([batch.column(2)]))
+            cut_down = [s[np.isin(s, chosen)].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut_down, pa.binary())], ["doc_id", "kind", "words"])
+
+    return sample.select("doc_id", "kind", "words").mapInArrow(run, "doc_id long, kind int, words binary")
+
+
 def matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     """A row for each text: 1 for each of the words that it has, and in a last column for the intercept."""
     place = np.full(1 << BITS, -1, np.int32)
     place[words] = np.arange(len(words))
-    x = np.zeros((len(sets), len(words) + 1), np.float32)
+    x = np.zeros((len(sets), len(words) + 1), np.uint8)
     x[:, -1] = 1
     for i, s in enumerate(sets):
         at = place[s]
@@ -141,11 +169,11 @@ def matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_words: int = 1024, epochs: int = 240, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Minimise the non-negative risk with the logistic loss by Adam over mini-batches."""
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_words: int = 1024, epochs: int = 240, rate: float = 0.05, decay: float = 1e-3, seed: int = 7, words: np.ndarray | None = None) -> Model:
+    """Minimise the non-negative risk with the logistic loss by Adam over mini-batches; ``words`` are the chosen ones, if they are known."""
     if not positive:
         return Model(np.zeros(0, np.int64), np.zeros(0), -50.0)
-    words = choose_words(positive, unlabelled, n_words)
+    words = choose_words(positive, unlabelled, n_words) if words is None else words
     x_p, x_u = matrix(positive, words), matrix(unlabelled or [np.zeros(0, np.uint32)], words)
     w, rng = np.zeros(len(words) + 1), np.random.default_rng(seed)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -155,7 +183,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     for _ in range(epochs):
         order = rng.permutation(len(x_u))
         for i in range(0, len(order), size):
-            u, p = x_u[order[i : i + size]], x_p[rng.permutation(len(x_p))[:size]]
+            u, p = x_u[order[i : i + size]].astype(np.float64), x_p[rng.permutation(len(x_p))[:size]].astype(np.float64)
             f_u, f_p = u @ w, p @ w
             # loss(z) = log(1 + exp(-z)); loss'(z) = -sigmoid(-z)
             g_pos = -(sigmoid(-f_p) @ p) / len(p) * prior
@@ -183,7 +211,7 @@ def place_threshold(model: Model, toxic: list[np.ndarray], other: list[np.ndarra
     return Model(model.words, model.weights, model.intercept - float(best))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, folds: int = 5, n_words: int = 1024) -> Model:
     """A model from the labels of the rows that are not held out, and a bounded sample of all documents."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"), folds))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -197,12 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
     ids = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id").agg(F.bit_or("kind").alias("kind"))
     # one reading of the texts for all three samples; of rows that repeat a doc_id the least set counts
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(cut(ids)), "doc_id")
-    rows = word_sets(text).groupBy("doc_id", "kind").agg(F.min("words").alias("words")).withColumn("order", F.xxhash64("doc_id")).toArrow()
+    sample = cut(word_sets(text).groupBy("doc_id", "kind").agg(F.min("words").alias("words")))
+    # only the chosen words of the sample are gathered: whole sets pass the driver a partition at a time
+    p, u, n_p, n_u = shares(sample)
+    words = choose(p, u, n_p, n_u, n_words) if n_p else np.zeros(0, np.int64)
+    del p, u
+    rows = only(sample, words).withColumn("order", F.xxhash64("doc_id")).toArrow()
     at = np.lexsort([rows.column(c).to_numpy() for c in ("doc_id", "order")])
     sets = views(rows.column("words"))
     kind, sample = rows.column("kind").to_numpy()[at], [sets[i] for i in at]
     toxic_sets, other_sets, clean_sets = ([s for s, k in zip(sample, kind, strict=True) if k & which] for which in (1, 2, 4))
-    model = train(toxic_sets, other_sets, toxic / n if n else 0.0)
+    model = train(toxic_sets, other_sets, toxic / n if n else 0.0, words=words)
     # errors are weighed as the labels have them
     if toxic and len(toxic_sets):
         clean_sets = clean_sets[: max(1, round(len(toxic_sets) * (n - toxic) / toxic))]

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from pagemill.llm import op06_toxicity
 from pagemill.llm.op06_toxicity import choose_words, drop_toxic, place_threshold, toxicity, train
 
 BAD = ["grommet", "zarfle", "blinkered"]
@@ -145,3 +146,22 @@ def test_choosing_words_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20  # an array of all feature numbers in floats is 32 MB, and several were held
+
+
+def test_whole_sets_are_not_gathered(spark, corpus, monkeypatch):
+    """Training gets sets of the chosen words only, the same words as from the whole sets; before, the driver held all words of the sample."""
+    docs, marks = corpus[2:]
+    got, plain = {}, op06_toxicity.train
+
+    def look(positive, unlabelled, prior, **more):
+        got.update(more, sets=[*positive, *unlabelled])
+        return plain(positive, unlabelled, prior, **more)
+
+    monkeypatch.setattr(op06_toxicity, "train", look)
+    op06_toxicity.fit(docs, marks)
+    chosen = set(got["words"].tolist())
+    assert chosen and all(set(s.tolist()) <= chosen for s in got["sets"])
+    texts = {d: t for d, t in corpus[0]}
+    sets = lambda ids: [np.frombuffer(r["words"], "<u4") for r in op06_toxicity.word_sets(spark.createDataFrame([(d, texts[d], 1) for d in ids], "doc_id long, text string, kind int")).collect()]
+    toxic = [d for d, t in corpus[1] if t and zlib.crc32(str(d).encode()) % 5]
+    assert set(choose_words(sets(toxic), sets(list(texts)), 1024).tolist()) == chosen
